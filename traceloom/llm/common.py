@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step handles; a longer single text is handled alone.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
+#: Words that a task remembers between steps.
+REMEMBERED = 300_000
 #: Largest table, in bytes of its rows, that an operator broadcasts.
 BROADCAST_BYTES = 64 << 20
-#: A-Z to lower case on UTF-8 bytes, everything else unchanged: bytes.lower() does exactly this.
-lower_ascii = bytes.lower
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,13 +85,29 @@ def spans(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, in
         yield lo, len(texts)
 
 
-def intern_words(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words, the flat word numbers of all documents, and each document's word count."""
-    table: dict = defaultdict()
-    table.default_factory = table.__len__
-    counts = np.fromiter(map(len, docs), np.int64, len(docs))
-    ids = np.fromiter((i for words in docs for i in map(table.__getitem__, words)), np.int64, int(counts.sum()))
-    return list(table), ids, counts
+class WordTable:
+    """Numbers words and keeps what `compute` gives for each: an array with a row a word. Between steps it forgets all
+    words if it holds more than `limit`, so its memory is bounded by that and one step's words."""
+
+    def __init__(self, compute: Callable[[list[bytes]], np.ndarray], limit: int = REMEMBERED):
+        self.compute, self.limit = compute, limit
+        self.words: list[bytes] = []
+        self.table: dict = {}
+        self.values = np.zeros(0)
+
+    def step(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The flat word numbers of all documents, and each document's word count."""
+        if not self.words or len(self.words) > self.limit:
+            self.table = defaultdict()
+            self.table.default_factory = self.table.__len__
+            self.words = []
+        counts = np.fromiter(map(len, docs), np.int64, len(docs))
+        ids = np.fromiter(map(self.table.__getitem__, chain.from_iterable(docs)), np.int64, int(counts.sum()))
+        new = list(islice(self.table, len(self.words), None))
+        fresh = self.compute(new)
+        self.values = np.concatenate([self.values, fresh]) if self.words else fresh
+        self.words += new
+        return ids, counts
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -106,9 +123,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hash_words(words: list[bytes], seed: int = 0) -> np.ndarray:
-    """Two independent 64-bit hashes a word, as an array of shape (2, words)."""
+    """Two independent 64-bit hashes a word, as an array of shape (words, 2)."""
     h = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([h(w, seed) for w in words]), ">u8").astype(np.uint64).reshape(-1, 2).T.copy()
+    return np.frombuffer(b"".join([h(w, seed) for w in words]), ">u8").astype(np.uint64).reshape(-1, 2)
 
 
 def prefix_sums(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import binary_texts, column, map_arrow, spans, whole_row, with_row
+from traceloom.llm.common import WordTable, binary_texts, column, map_arrow, spans, whole_row, with_row
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Documents a language that the fit reads, longest piece in bytes, rounds of the fit, words that a task remembers.
-SAMPLE, PIECE_BYTES, ROUNDS, REMEMBERED = 250, 6, 3, 400_000
+#: Documents a language that the fit reads, longest piece in bytes, rounds of the fit.
+SAMPLE, PIECE_BYTES, ROUNDS = 250, 6, 3
 UNKNOWN = "und"
 
 
@@ -179,27 +179,20 @@ def identify(docs: DataFrame, folds: int = 5, vocabulary: str = VOCABULARY, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, langs, probs = shared.value
-        finder, known, table = Pieces(pieces), {}, np.zeros((0, len(langs)))
+        finder = Pieces(pieces)
+        table = WordTable(lambda words: word_scores([b" " + w for w in words], finder, probs))
         for batch in batches:
             raw = column(batch, "text").to_pylist()
             texts = [(t or "").lower().encode("utf-8", "replace") for t in raw]
             best, score = [], []
             for lo, hi in spans(texts):
-                docs = [t.split() for t in texts[lo:hi]]
-                if len(known) > REMEMBERED:
-                    known, table = {}, np.zeros((0, len(langs)))
-                get = known.setdefault
-                before = len(known)
-                ids = [[get(w, len(known)) for w in d] for d in docs]
-                new = [b" " + w for w in list(known)[before:]]
-                if len(new):
-                    table = np.concatenate([table, word_scores(new, finder, probs)])
-                for i, own in enumerate(ids):
-                    if not langs or not own or not any(map(str.isalpha, raw[lo + i])):
+                ids, counts = table.step([t.split() for t in texts[lo:hi]])
+                for i, own in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
+                    if not langs or not len(own) or not any(map(str.isalpha, raw[lo + i])):
                         best.append(UNKNOWN)
                         score.append(0.0)
                         continue
-                    total = table[np.array(own, np.int64)].sum(axis=0)
+                    total = table.values[own].sum(axis=0)
                     k = int(total.argmax())
                     best.append(langs[k])
                     score.append(float(1 / np.exp(total - total[k]).sum()))

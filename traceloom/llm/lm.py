@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import binary_texts, column, intern_words, map_arrow, save, spans
+from traceloom.llm.common import WordTable, binary_texts, column, map_arrow, save, spans
 
 WORDS, HASHED, FREQUENT = 192, 128, 50_000
 WIDTH, CONTEXT, NOISE, BATCH, RATE, SEED = 24, 3, 64, 1024, 0.15, 3
+#: Tokens that stand together in a batch.
+RUN = 64
 #: Tokens that a task counts before it passes its counts on.
 REMEMBERED = 400_000
 END = b""
@@ -73,22 +75,27 @@ class Classes:
         kinds = np.array([0] * len(own) + [totals.get(h, (0, 0))[1] for h in range(HASHED)], np.float64)
         self.log_within = np.where(np.arange(self.size) < len(own), 0.0, np.log10(count + kinds + 1))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        get, first = self.own.get, len(self.own)
-        return np.fromiter((c if (c := get(w)) is not None else first + hashed_class(w) for w in words), np.int64, len(words))
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        """A row a word: its class, and its training count or -1 if it is not frequent."""
+        own, frequent, first = self.own.get, self.frequent.get, len(self.own)
+        kind = [c if (c := own(w)) is not None else first + hashed_class(w) for w in words]
+        return np.array([kind, [frequent(w, -1) for w in words]], np.int64).reshape(2, -1).T
 
 
-def flat_classes(classes: Classes, docs: list[list[bytes]]):
-    """Interned words with each document's end mark, their classes, the contexts (before the start: the extra row)."""
-    words, ids, counts = intern_words([d + [END] for d in docs])
-    kind = classes.of(words)
-    seq, doc = kind[ids], np.repeat(np.arange(len(docs)), counts)
-    at = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
-    ctx = np.full((CONTEXT, len(ids)), classes.size, np.int64)
+def contexts(seq: np.ndarray, counts: np.ndarray, before: int) -> np.ndarray:
+    """The classes 1 to CONTEXT places back, a row a place; before a document's start the class `before`."""
+    at = np.arange(len(seq)) - np.repeat(np.cumsum(counts) - counts, counts)
+    ctx = np.empty((CONTEXT, len(seq)), np.int16)
     for i in range(CONTEXT):
-        ctx[i, i + 1 :] = seq[: len(seq) - i - 1] if len(seq) > i else seq[:0]
-        ctx[i, at <= i] = classes.size
-    return words, ids, counts, kind, seq, doc, ctx
+        ctx[i, i + 1 :] = seq[: max(len(seq) - i - 1, 0)]
+        ctx[i, at <= i] = before
+    return ctx
+
+
+def tokens_of(text: bytes) -> list[bytes]:
+    words = text.lower().split()
+    words.append(END)
+    return words
 
 
 def start(share: np.ndarray, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -102,11 +109,12 @@ def start(share: np.ndarray, seed: int = SEED) -> dict[str, np.ndarray]:
 
 
 def _scatter(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    order = np.argsort(ids.astype(np.int16), kind="stable")
-    own = ids[order]
-    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    ids = ids.astype(np.int16)
+    order = np.argsort(ids, kind="stable")
+    counts = np.bincount(ids, minlength=size)
+    some = np.flatnonzero(counts)
     out = np.zeros((size, rows.shape[1]), "f4")
-    out[own[first]] = np.add.reduceat(rows[order], first, axis=0)
+    out[some] = np.add.reduceat(np.take(rows, order, axis=0), (np.cumsum(counts) - counts)[some], axis=0)
     return out
 
 
@@ -119,54 +127,123 @@ class Nce:
         self.cum, self.log_noise = np.cumsum(share), np.log(share * NOISE).astype("f4")
         self.rng, self.steps, self.tokens = np.random.default_rng(seed), 0, 0
 
-    def step(self, target: np.ndarray, ctx: np.ndarray) -> None:
+    def step(self, target: np.ndarray, ctx: np.ndarray, place: np.ndarray) -> None:
+        """One batch of runs of tokens; place: a token's in its run."""
         p, n = self.p, len(target)
         k = len(p["b"])
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), k - 1)
-        vec = p["r"][ctx]  # context, batch, width
-        h = (vec * p["c"][:, None, :]).sum(axis=0)
-        qt, qn = p["q"][target], p["q"][noise]
-        pos = (h * qt).sum(axis=1) + p["b"][target] - self.log_noise[target]
-        neg = h @ qn.T + (p["b"][noise] - self.log_noise[noise])
-        gp = (-1 / (1 + np.exp(np.clip(pos, -30, 30)))).astype("f4") / n  # of the loss in the score
-        gn = (1 / (1 + np.exp(-np.clip(neg, -30, 30)))).astype("f4") / n
-        gh = gp[:, None] * qt + gn @ qn
-        grad_q = _scatter(target, gp[:, None] * h, k)
+        vec = [np.take(p["r"], c, axis=0) for c in ctx]  # a context place: batch by width
+        h = vec[0] * p["c"][0]
+        for v, w in zip(vec[1:], p["c"][1:]):
+            h += v * w
+        qt, qn = np.take(p["q"], target, axis=0), p["q"][noise]
+        against = p["b"] - self.log_noise
+        pos = np.einsum("ij,ij->i", h, qt) + np.take(against, target)
+        gn = h @ qn.T
+        gn += against[noise]
+        with np.errstate(over="ignore"):  # a vanishing gradient
+            gp = np.float32(-1 / n) / (1 + np.exp(pos))  # of the loss in the score
+            np.negative(gn, out=gn)
+            np.exp(gn, out=gn)
+            gn += np.float32(1)
+            np.divide(np.float32(1 / n), gn, out=gn)
+        gq = gp[:, None] * qt
+        gq += gn @ qn
+        ones = np.ones(n, "f4")
+        # A token is the target at its own place and a context at the places after it: one scatter takes both
+        # gradients of all tokens; contexts from before their run, or before the document, are added apart.
+        both = np.zeros((n, 2 * WIDTH), "f4")
+        np.multiply(gp[:, None], h, out=both[:, :WIDTH])
+        late, apart = both[:, WIDTH:], []
+        for i in range(1, CONTEXT + 1):
+            part = gq * p["c"][i - 1]
+            out = (place < i) | (ctx[i - 1] == k)
+            apart.append((ctx[i - 1][out], part[out]))
+            part[out] = 0
+            late[:-i] += part[i:]
+        grads = _scatter(target, both, k + 1)
+        grad_q, grad_r = grads[:k, :WIDTH].copy(), grads[:, WIDTH:].copy()
+        np.add.at(grad_r, np.concatenate([c for c, _ in apart]), np.concatenate([x for _, x in apart]))
         np.add.at(grad_q, noise, gn.T @ h)
         grad_b = np.bincount(target, gp, k).astype("f4")
-        np.add.at(grad_b, noise, gn.sum(axis=0))
-        grad_r = _scatter(ctx.reshape(-1), (gh[None] * p["c"][:, None, :]).reshape(-1, WIDTH), k + 1)
-        grad_c = (vec * gh[None]).sum(axis=1)
+        np.add.at(grad_b, noise, ones @ gn)
+        grad_c = np.stack([np.einsum("ij,ij->j", v, gq) for v in vec])
         for name, grad in (("r", grad_r), ("q", grad_q), ("c", grad_c), ("b", grad_b)):
             self.g[name] += grad * grad
-            p[name] -= (RATE if name != "c" else RATE / 10) * grad / np.sqrt(self.g[name])
+            p[name] -= np.float32(RATE if name != "c" else RATE / 10) * grad / np.sqrt(self.g[name])
         self.steps += 1
         self.tokens += n
 
     def learn(self, seq: np.ndarray, ctx: np.ndarray) -> None:
-        order, lo = self.rng.permutation(len(seq)), 0
-        while lo < len(order):
-            at = order[lo : lo + (BATCH if self.steps > 200 else BATCH // 4)]
-            self.step(seq[at], ctx[:, at])
-            lo += len(at)
+        """Steps over all tokens; a batch takes runs of RUN tokens at even distances."""
+        every = np.arange(len(seq))
+        n = max(1, len(seq) // (BATCH if self.steps > 200 else BATCH // 4))
+        for i in range(n):
+            at = np.concatenate([every[lo : lo + RUN] for lo in range(i * RUN, len(seq), n * RUN)] or [every[:0]])
+            if len(at):
+                self.step(seq[at], ctx[:, at], at % RUN)
 
 
 def log_probs(params: dict[str, np.ndarray], seq: np.ndarray, ctx: np.ndarray, rows: int = 512) -> np.ndarray:
     """Base-10 log probability of every token's class, normalised over all classes."""
-    out, qt = np.empty(len(seq)), np.ascontiguousarray(params["q"].T)
-    r, c, b = params["r"], params["c"][:, None, :], params["b"]
+    out = np.empty(len(seq))
+    qt = np.concatenate([params["q"], params["b"][:, None]], axis=1).T.copy()  # with a last row for the biases
+    placed = params["r"][None] * params["c"][:, None, :]  # place, class, width
+    placed = np.concatenate([placed, np.zeros_like(placed[:, :, :1])], axis=2)
+    placed[0, :, -1] = 1
+    top = float(np.abs(qt).max(axis=1) @ sum(np.abs(p).max(axis=0) for p in placed))  # no score is larger
+    shift, ones = np.float32(max(0.0, top - 80)), np.ones(qt.shape[1], "f4")
+    room = np.empty((rows, qt.shape[1]), "f4")
     for lo in range(0, len(seq), rows):
         part, own = ctx[:, lo : lo + rows], seq[lo : lo + rows]
-        s = (r[part] * c).sum(axis=0) @ qt
-        s += b
-        top = s.max(axis=1)
-        got = s[np.arange(len(own)), own] - top
-        s -= top[:, None]
+        h = np.take(placed[0], part[0], axis=0)
+        for i in range(1, CONTEXT):
+            h += np.take(placed[i], part[i], axis=0)
+        s = np.matmul(h, qt, out=room[: len(own)])
+        got = s[np.arange(len(own)), own]
+        high = s.max(axis=1, keepdims=True) if shift else 0
+        if shift:
+            s -= high
         np.exp(s, out=s)
-        out[lo : lo + rows] = got - np.log(s.sum(axis=1))
+        out[lo : lo + rows] = got - np.ravel(high) - np.log(s @ ones)
     return out / np.log(10)
 
 
+class Normalised:
+    """log_probs for contexts of three places by tables: the scores of every class after every class at a place, and the
+    normalisers of all contexts, made by one matrix product a nearest class. The tables depend on the model alone."""
+
+    def __init__(self, params: dict[str, np.ndarray]):
+        placed = params["r"].astype("f8")[None] * params["c"].astype("f8")[:, None, :]
+        self.scores = [p @ params["q"].astype("f8").T for p in placed]
+        self.scores[0] = self.scores[0] + params["b"]
+        top = [s.max(axis=1) for s in self.scores]
+        near, mid, far = (np.exp(s - t[:, None]) for s, t in zip(self.scores, top))
+        k = len(near)
+        self.logs = np.empty((k, k, k), "f4")
+        for i in range(k):
+            z = np.maximum((mid * near[i]) @ far.T, 1e-300)
+            self.logs[i] = np.log(z) + top[0][i] + top[1][:, None] + top[2][None, :]
+
+    def log_probs(self, seq: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        score = sum(s[c, seq] for s, c in zip(self.scores, ctx))
+        return (score - self.logs[ctx[0], ctx[1], ctx[2]]) / np.log(10)
+
+
+_tables: dict[int, Normalised] = {}
+
+
+def scorer(params: dict[str, np.ndarray]):
+    """A function of (classes, contexts); a Python worker keeps one model's tables from task to task."""
+    if len(params["c"]) != 3:
+        return lambda seq, ctx: log_probs(params, seq, ctx)
+    name = zlib.crc32(_pack(params).tobytes())
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = Normalised(params)
+    return _tables[name].log_probs
+
+
 def _pack(params: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([params[k].reshape(-1).astype("f8") for k in ("r", "q", "c", "b")])
 
@@ -185,12 +262,13 @@ def train(src: DataFrame, classes: Classes, first: dict[str, np.ndarray]) -> dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, first = shared.value
-        model = Nce(classes.share, first, SEED)
+        model, table = Nce(classes.share, first, SEED), WordTable(classes.rows)
         for batch in batches:
             texts = binary_texts(batch)
             for lo, hi in spans(texts):
-                _, _, _, _, seq, _, ctx = flat_classes(classes, [t.lower().split() for t in texts[lo:hi]])
-                model.learn(seq, ctx)
+                ids, counts = table.step([tokens_of(t) for t in texts[lo:hi]])
+                seq = table.values[ids, 0]
+                model.learn(seq, contexts(seq, counts, classes.size))
         if model.tokens:
             total = _pack(model.p) * model.tokens
             yield pa.RecordBatch.from_arrays([pa.array([model.tokens % 64]), pa.array([model.tokens]), pa.array([total.tobytes()], pa.binary())], ["part", "n", "total"])
@@ -241,21 +319,23 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, params = shared.value
-        first = len(classes.own)
+        first, table, model_score = len(classes.own), WordTable(classes.rows), scorer(params)
         for batch in batches:
             texts, keys = binary_texts(batch), column(batch, "key").to_numpy(zero_copy_only=False)
             for lo, hi in spans(texts):
-                words, ids, n, kind, seq, doc, ctx = flat_classes(classes, [t.lower().split() for t in texts[lo:hi]])
-                count = np.array([classes.frequent.get(w, -1) for w in words], np.int64)
+                ids, n = table.step([tokens_of(t) for t in texts[lo:hi]])
+                words, kind, count = table.words, *table.values.T
+                seq, doc = kind[ids], np.repeat(np.arange(hi - lo), n)
                 log_count = np.log10(np.maximum(count, 0) + 1.0)
                 rare, hashed = count < 0, kind >= first
                 size = hi - lo
                 base = np.bincount(doc, log_count[ids], size)
-                model = np.bincount(doc, log_probs(params, seq, ctx) - classes.log_within[seq] + np.where(hashed[ids], log_count[ids], 0), size)
-                known = np.bincount(doc[count[ids] > 0], minlength=size)
+                model = np.bincount(doc, model_score(seq, contexts(seq, n, classes.size)) - classes.log_within[seq] + np.where(hashed[ids], log_count[ids], 0), size)
+                known = np.bincount(doc[(count > 0)[ids]], minlength=size)
                 info = np.stack([n.astype("f8"), known.astype("f8"), base, model], axis=1)
                 mine = keys[lo:hi]
-                pair, times = np.unique(doc[rare[ids]] * len(words) + ids[rare[ids]], return_counts=True)
+                seldom = rare[ids]
+                pair, times = np.unique(doc[seldom] * len(words) + ids[seldom], return_counts=True)
                 token = pa.array([b"\n%d" % k for k in mine.tolist()] + [words[i] for i in (pair % max(len(words), 1)).tolist()], pa.binary()).cast(pa.string())
                 blobs = [x.tobytes() for x in info] + [None] * len(pair)
                 yield pa.RecordBatch.from_arrays([token, pa.array(np.concatenate([mine, mine[pair // max(len(words), 1)]])), pa.array(np.concatenate([np.zeros(size, np.int32), times.astype(np.int32)])), pa.array(blobs, pa.binary())], ["token", "key", "n", "info"])
@@ -263,7 +343,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id"
     keyed = src.select("doc_id", "held", F.xxhash64("doc_id", "text").alias("key"), "text")
     rows = map_arrow(keyed.select("key", "text"), run, "token string, key long, n int, info binary")
     seen = counts.where("n_train > 0").select("token", F.col("n_train").alias("c"))
-    joined = rows.join(seen, "token", "left")
+    joined = rows.join(seen.hint("shuffle_hash"), "token", "left")  # a partition's distinct tokens, no text
     value = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)
     found = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
     per = joined.groupBy("key").agg(F.sum(value).alias("log"), F.sum(found).alias("found"), F.max("info").alias("info"), F.count("info").alias("m"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import BROADCAST_BYTES, binary_texts, column, hash_words, intern_words, map_arrow, prefix_sums, save, sliding_argmin, spans, whole_row, window_hashes, with_row
+from traceloom.llm.common import BROADCAST_BYTES, WordTable, binary_texts, column, hash_words, map_arrow, prefix_sums, save, sliding_argmin, spans, whole_row, window_hashes, with_row
 
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -32,14 +32,13 @@ def levels(window: int) -> list[int]:
 class Words:
     """A step's documents as flat word hashes."""
 
-    def __init__(self, docs: list[list[bytes]], window: int):
+    def __init__(self, docs: list[list[bytes]], window: int, table: WordTable):
         self.first, self.half, self.window = levels(window)
-        words, ids, self.counts = intern_words(docs)
+        self.ids, self.counts = table.step(docs)
         self.ends = np.cumsum(self.counts)
         self.begins = self.ends - self.counts
-        self.hashes = hash_words(words)
-        self.ids = ids
-        self.sums, self.inverse = prefix_sums(self.hashes[0][ids], BASES[0])
+        self.hashes = table.values
+        self.sums, self.inverse = prefix_sums(self.hashes[self.ids, 0], BASES[0])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The starts of all full windows, for each its document and the place of its chosen short window."""
@@ -54,7 +53,7 @@ class Words:
 
     def hash_at(self, starts: np.ndarray, length: int, which: int = 0) -> np.ndarray:
         if which and not hasattr(self, "other"):
-            self.other = prefix_sums(self.hashes[1][self.ids], BASES[1])
+            self.other = prefix_sums(self.hashes[self.ids, 1], BASES[1])
         return window_hashes(*((self.sums, self.inverse) if not which else self.other), starts, length)
 
 
@@ -77,8 +76,9 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
 
 def _chosen(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
+        table = WordTable(hash_words)
         for batch, words in _steps(batches):
-            w = Words(words, window)
+            w = Words(words, window, table)
             starts, doc, at = w.anchors()
             if not len(at):
                 continue
@@ -125,8 +125,9 @@ def repeated_windows(keyed: DataFrame, window: int = 35) -> DataFrame:
     held = _bounded(sides, "sides")
 
     def run(batches):
+        table = WordTable(hash_words)
         for batch, words in _steps(batches):
-            w = Words(words, window)
+            w = Words(words, window, table)
             starts, doc = _candidate_windows(w, column(batch, "sides").to_pylist())
             key = column(batch, "key").to_numpy(zero_copy_only=False)[doc]
             cols = [_signed(w.hash_at(starts, w.window)), _signed(w.hash_at(starts, w.window, 1)), pa.array(key), pa.array((starts - w.begins[doc]).astype(np.int32))]
@@ -175,8 +176,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     found = _bounded(found, "sides", "alone")
 
     def run(batches):
+        table = WordTable(hash_words)
         for batch, words in _steps(batches):
-            w = Words(words, window)
+            w = Words(words, window, table)
             gone = _removed(w, column(batch, "sides").to_pylist(), column(batch, "alone").to_pylist())
             removed, kept = np.zeros(len(words), np.int64), []
             for i, ws in enumerate(words):

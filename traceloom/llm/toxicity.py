@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import binary_texts, column, hash_words, intern_words, map_arrow, mix, spans
+from traceloom.llm.common import WordTable, binary_texts, column, hash_words, map_arrow, mix, spans
 
 SAMPLE, BUCKET_BITS, EPOCHS, STEMS = 12_000, 20, 2, (4, 6)
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 4.0, 0.5
@@ -28,22 +28,29 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_BLANK).split()
 
 
-def features(docs: list[list[bytes]], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of every word, stem, neighbouring pair and pair one word apart, repeats included."""
-    words, ids, counts = intern_words(docs)
-    h = hash_words(words)[0][ids] if len(ids) else np.zeros(0, np.uint64)
-    doc = np.repeat(np.arange(len(docs)), counts)
-    out_doc, out = [doc], [mix(h)]
-    for n in STEMS:
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A row a word: its hash, and those of its stems; 0 where it is no longer than the stem."""
+    out = np.zeros((len(words), 1 + len(STEMS)), np.uint64)
+    out[:, 0] = mix(hash_words(words)[:, 0])
+    for i, n in enumerate(STEMS):
         long = np.fromiter((len(w) > n for w in words), bool, len(words))
-        stem = np.zeros(len(words), np.uint64)
-        stem[long] = hash_words([w[:n] for w in words if len(w) > n], n)[0]
-        has = long[ids]
+        out[long, i + 1] = hash_words([w[:n] for w in words if len(w) > n], n)[:, 0]
+    return out
+
+
+def features(docs: list[list[bytes]], table: WordTable, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) of every word, stem, neighbouring pair and pair one word apart, repeats included."""
+    ids, counts = table.step(docs)
+    rows = table.values[ids]
+    h, doc = rows[:, 0], np.repeat(np.arange(len(docs)), counts)
+    out_doc, out = [doc], [h]
+    for i in range(1, 1 + len(STEMS)):
+        has = rows[:, i] != 0
         out_doc.append(doc[has])
-        out.append(stem[ids[has]])
+        out.append(rows[has, i])
     for gap, salt in ((1, 0x5851F42D4C957F2D), (2, 0x14057B7EF767814F)):
         same = doc[gap:] == doc[:-gap]
-        pair = mix(h[:-gap] * np.uint64(salt) + mix(h[gap:]))
+        pair = mix(h[:-gap] * np.uint64(salt) + h[gap:])
         out_doc.append(doc[gap:][same])
         out.append(pair[same])
     return np.concatenate(out_doc), (np.concatenate(out) >> np.uint64(64 - bits)).astype(np.int64)
@@ -87,10 +94,11 @@ def sample_features(docs: DataFrame, labels: DataFrame, folds: int, fold: int, s
     chosen = chosen.orderBy("h", "id", "toxic").limit(sample)  # at most `sample` narrow rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = WordTable(word_hashes)
         for batch in batches:
             texts = binary_texts(batch)
             for lo, hi in spans(texts):
-                doc, bucket = features([words_of(t) for t in texts[lo:hi]])
+                doc, bucket = features([words_of(t) for t in texts[lo:hi]], table)
                 key = np.unique(doc << BUCKET_BITS | bucket)
                 sizes = np.bincount(key >> BUCKET_BITS, minlength=hi - lo)
                 flat = pa.array((key & (1 << BUCKET_BITS) - 1).astype(np.int32))
@@ -118,12 +126,12 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sam
     shared = docs.sparkSession.sparkContext.broadcast((at, weights[at]))  # 2**BUCKET_BITS weights at most, few after L1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = np.zeros((1 << BUCKET_BITS) + 1)
+        table, w = WordTable(word_hashes), np.zeros((1 << BUCKET_BITS) + 1)
         w[shared.value[0]] = shared.value[1]
         for batch in batches:
             texts, out = binary_texts(batch), []
             for lo, hi in spans(texts):
-                doc, bucket = features([words_of(t) for t in texts[lo:hi]])
+                doc, bucket = features([words_of(t) for t in texts[lo:hi]], table)
                 hit = w[bucket] != 0
                 key = np.unique(doc[hit] << BUCKET_BITS | bucket[hit])
                 out.append(np.bincount(key >> BUCKET_BITS, w[key & (1 << BUCKET_BITS) - 1], hi - lo) + w[-1])
