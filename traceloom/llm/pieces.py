@@ -11,9 +11,10 @@ different places differ. Pieces' bytes joined, without the first space, are the
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 from traceloom.llm.common import column, map_arrow, mix, spans
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, SEED, VARIANTS, REMEMBERED = 0.1, 11, 4, 300_000
+RATE, SEED, VARIANTS = 0.1, 11, 4
+#: Segments that a Python worker remembers a generation, about 200 bytes each.
+REMEMBERED = 700_000
 SEGMENT = re.compile(r" *[^ \n]+|\n| +")
 _MASK = (1 << 64) - 1
 
@@ -34,6 +37,7 @@ class Model:
     def __init__(self, pieces: list[tuple[str, int]], byte_ids: list[int], decoded: list[bytes]):
         self.rank = {p: r for r, (p, _) in enumerate(pieces)}
         self.number = [i for _, i in pieces]
+        self.hashes = (mix(np.arange(1, len(pieces) + 1, dtype=np.uint64)) >> np.uint64(40)).tolist()
         self.byte_ids = byte_ids
         self.decoded = decoded
         self.whole = not any(" " in p.lstrip(" ") or ("\n" in p and len(p) > 1) for p in self.rank)
@@ -61,29 +65,56 @@ class Model:
         """Parts that no piece spans."""
         return SEGMENT.findall(text) if self.whole else [text]
 
-    def encode_segment(self, seg: str, key: int = 0, limit: int = 0) -> list[int]:
-        """Piece numbers. limit: skip a candidate whose 24-bit hash is below it; 0 never skips."""
-        rank, n = self.rank, len(seg)
-        if not limit and seg in rank and n == 1:
-            return [self.number[rank[seg]]]
+    def units(self, text: str) -> list[str]:
+        """A text, as after a space, cut at single spaces and line ends into names of segments: a name without a line end
+        is the segment of a space and the name; one with a line end in front is that line end and the rest; any other
+        segment has two line ends in front."""
+        if not self.whole:
+            return ["\n\n " + text]
+        out = []
+        for i, line in enumerate(text.split("\n")):
+            if "  " in line or line[:1] == " ":
+                out += ["\n"] * (i > 0) + ["\n\n" + s for s in SEGMENT.findall(line if i else " " + line)]
+                continue
+            words = line.split(" ")
+            if i:
+                words[0] = "\n" + words[0]
+            out += words
+        return out
+
+    def named(self, unit: str) -> list[str]:
+        """The segments of a unit's name."""
+        if unit[:1] != "\n":
+            return [" " + unit]
+        if unit[:2] == "\n\n":
+            return [unit[2:]]
+        return ["\n", unit[1:]] if len(unit) > 1 else ["\n"]
+
+    def encode_segment(self, seg: str, places: list[int] | None = None, limit: int = 0) -> list[int]:
+        """Piece numbers. A candidate is skipped if the hash of its piece, crossed with its place's number, is below limit."""
+        rank, n = self.rank.get, len(seg)
+        agenda = [(r, a, a + 1, a + 2) for a in range(n - 1) if (r := rank(seg[a : a + 2])) is not None]
+        heapify(agenda)
         end, begin = list(range(1, n + 1)), list(range(-1, n))  # end[a]: of the symbol at a; begin[b]: of the one that ends at b
-        agenda = [(r, a, a + 1, a + 2) for a in range(n - 1) if (r := rank.get(seg[a : a + 2])) is not None]
-        heapq.heapify(agenda)
         while agenda:
-            r, a, m, b = heapq.heappop(agenda)
-            if end[a] != m or m >= n or end[m] != b:
+            r, a, m, b = heappop(agenda)
+            if end[a] != m or end[m] != b:
                 continue
-            if limit and (((key ^ (r * 0x9E3779B1 + a * 0x85EBCA77)) * 0x9E3779B97F4A7C15 & _MASK) >> 40) < limit:
+            if limit and self.hashes[r] ^ places[a & 255] < limit:
                 continue
             end[a], end[m], begin[b] = b, -1, a
-            if a and (r := rank.get(seg[(p := begin[a]) : b])) is not None:
-                heapq.heappush(agenda, (r, p, a, b))
-            if b < n and (r := rank.get(seg[a : (e := end[b])])) is not None:
-                heapq.heappush(agenda, (r, a, b, e))
+            if a:
+                p = begin[a]
+                if (r := rank(seg[p:b])) is not None:
+                    heappush(agenda, (r, p, a, b))
+            if b < n:
+                e = end[b]
+                if (r := rank(seg[a:e])) is not None:
+                    heappush(agenda, (r, a, b, e))
         out, a = [], 0
         while a < n:
             b = end[a]
-            if (i := rank.get(seg[a:b])) is not None:
+            if (i := rank(seg[a:b])) is not None:
                 out.append(self.number[i])
             else:
                 out += [self.byte_ids[x] for x in seg[a:b].encode()]
@@ -91,17 +122,168 @@ class Model:
         return out
 
     def encode(self, text: str, key: int = 0, rate: float = 0.0) -> list[int]:
-        """One text, every segment under one key."""
+        """One text, every segment under one key. A text that is cut into segments otherwise, as by units(), has the same
+        pieces without dropout."""
         if not text:
             return []
-        return [i for s in self.segments(" " + text) for i in self.encode_segment(s, key, int(rate * (1 << 24)))]
+        places, limit = place_numbers(key), int(rate * (1 << 24))
+        return [i for s in self.segments(" " + text) for i in self.encode_segment(s, places, limit)]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.decoded.__getitem__, ids))[1:].decode()
 
 
-def word_keys(seed: int) -> list[int]:
-    return mix(np.arange(1, VARIANTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)).tolist()
+def place_numbers(key: int) -> list[int]:
+    """24-bit numbers that stand for a key and a place in a segment; places repeat after 256."""
+    return (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(key & _MASK)) >> np.uint64(40)).tolist()
+
+
+class Batch:
+    """encode_segment for many segments at once. Whether a candidate is skipped depends on its piece, its place and the
+    key alone, so the agenda's next candidate is the best one left: every round takes it in all segments together."""
+
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, model: Model, places: list[list[int]], limit: int):
+        self.model, self.limit = model, limit
+        self.places = np.array(places, np.int64)
+        self.hashes = np.array(model.hashes, np.int64)
+        self.number = np.array(model.number, np.int32)
+        self.single = np.full(1 << 16, -1, np.int32)  # ranks of one-character pieces
+        pairs = {}
+        for p, r in model.rank.items():
+            if len(p) == 1 and ord(p) < 1 << 16:
+                self.single[ord(p)] = r
+            for i in range(1, len(p)):
+                if (x := model.rank.get(p[:i])) is not None and (y := model.rank.get(p[i:])) is not None:
+                    pairs[x << 16 | y] = r
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys = np.full((1 << self.bits) + 64, -1, np.int64)
+        self.ranks = np.full((1 << self.bits) + 64, self.NONE, np.int32)
+        for key, r in pairs.items():
+            at = (key * 0x9E3779B97F4A7C15 & _MASK) >> (64 - self.bits)
+            while self.keys[at] != -1:
+                at += 1
+            self.keys[at], self.ranks[at] = key, r
+
+    def merged(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Ranks of pairs' pieces; NONE where there is none or it is skipped."""
+        name = left.astype(np.int64) << 16 | right
+        at = (name.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.full(len(name), self.NONE, np.int32)
+        own = np.flatnonzero((left >= 0) & (right >= 0))
+        while len(own):
+            found = self.keys[at[own]]
+            hit = found == name[own]
+            out[own[hit]] = self.ranks[at[own[hit]]]
+            own = own[~hit & (found != -1)]
+            at[own] += 1
+        has = np.flatnonzero(out != self.NONE)
+        skip = self.hashes[out[has]] ^ self.places[key[has], start[has] & 255] < self.limit
+        out[has[skip]] = self.NONE
+        return out
+
+    def encode(self, segments: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers, and their counts a segment, of segments of about equally many characters; a segment with a character
+        that is no piece gets none."""
+        n = len(segments)
+        sizes = np.fromiter(map(len, segments), np.int64, n)
+        width = int(sizes.max())
+        chars = np.frombuffer("".join([x.ljust(width, "\0") for x in segments]).encode("utf-32-le"), "<u4").reshape(n, width)
+        sym = np.where(np.arange(width) < sizes[:, None], self.single[np.minimum(chars, 0xFFFF)], -1)
+        known = ((sym >= 0).sum(axis=1) == sizes)[:, None]
+        sym = np.where(known, sym, -1)
+        start = np.tile(np.arange(width), (n, 1))
+        cand = np.full((n, width), self.NONE, np.int32)
+        if width > 1:
+            cand[:, :-1] = self.merged(sym[:, :-1].ravel(), sym[:, 1:].ravel(), start[:, :-1].ravel(), np.repeat(keys, width - 1)).reshape(n, -1)
+        rows, done, places = np.arange(n), np.full((n, width), -1, np.int32), np.arange(width)
+        while len(rows):
+            j = cand.argmin(axis=1)
+            best = cand[np.arange(len(rows)), j]
+            live = best != self.NONE
+            if not live.all():
+                done[rows[~live], : sym.shape[1]] = sym[~live]
+                rows, sym, start, cand, j, best = rows[live], sym[live], start[live], cand[live], j[live], best[live]
+                if not len(rows):
+                    break
+            w = sym.shape[1]
+            at = np.minimum(places[: w - 1] + (places[: w - 1] > j[:, None]), w - 1)
+            every = np.arange(len(rows))
+            sym, start, cand = (np.take_along_axis(x, at, axis=1) for x in (sym, start, cand))
+            sym[every, j] = best
+            cand[every, j] = self.NONE
+            if w - 1 > 1:
+                right = j + 1 < w - 1
+                e, c = every[right], j[right]
+                cand[e, c] = self.merged(sym[e, c], sym[e, c + 1], start[e, c], keys[rows[e]])
+                left = j > 0
+                e, c = every[left], j[left] - 1
+                cand[e, c] = self.merged(sym[e, c], sym[e, c + 1], start[e, c], keys[rows[e]])
+        has = done >= 0
+        return self.number[done[has]], has.sum(axis=1)
+
+
+class Remembered:
+    """Units' packed piece numbers under each key, in two generations: what is looked up stays, what is not goes when the
+    younger one is full. A Python worker keeps it from task to task."""
+
+    def __init__(self, model: Model, seed: int, limit: int):
+        self.model, self.limit = model, limit
+        keys = mix(np.arange(1, VARIANTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed & _MASK)).tolist()
+        self.places = [place_numbers(k) for k in keys]
+        self.batch = Batch(model, self.places, limit)
+        self.young: list[dict[str, bytes]] = [{} for _ in keys]
+        self.old: list[dict[str, bytes]] = [{} for _ in keys]
+
+    def one(self, unit: str, v: int) -> bytes:
+        ids = [i for s in self.model.named(unit) for i in self.model.encode_segment(s, self.places[v], self.limit)]
+        return pack(f"<{len(ids)}i", *ids)
+
+    def learn(self, missing: set[tuple[int, str]]) -> dict[tuple[int, str], bytes]:
+        """Remember units that the younger generation does not have; returns what is too long to be remembered."""
+        long, segments = {}, []
+        for v, u in missing:
+            if (got := self.old[v].get(u)) is not None:
+                self.young[v][u] = got
+            elif len(u) > 40:
+                long[v, u] = self.one(u, v)
+            elif u[:1] == "\n":
+                self.young[v][u] = self.one(u, v)
+            else:
+                segments.append((len(u), v, u))
+        segments.sort()
+        lo = 0
+        while lo < len(segments):
+            hi = min(lo + 8192, len(segments))
+            while segments[hi - 1][0] > segments[lo][0] + 2:
+                hi = lo + (hi - lo + 1) // 2
+            part = segments[lo:hi]
+            ids, counts = self.batch.encode([" " + u for _, _, u in part], np.array([v for _, v, _ in part]))
+            packed, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            at = 0
+            for (_, v, u), end in zip(part, ends):
+                self.young[v][u] = packed[at:end] if end > at else self.one(u, v)
+                at = end
+            lo = hi
+        return long
+
+    def encode(self, units: list[list[str]], draws: list[list[int]]) -> list[bytes]:
+        """Packed numbers of texts given as units and their keys' numbers."""
+        young = self.young
+        got = [[young[v].get(u) for u, v in zip(us, vs)] for us, vs in zip(units, draws)]
+        long = self.learn({(v, u) for us, vs, gs in zip(units, draws, got) for u, v, g in zip(us, vs, gs) if g is None})
+        out = []
+        for us, vs, gs in zip(units, draws, got):
+            if None in gs:
+                gs = [g if g is not None else young[v].get(u) or long[v, u] for u, v, g in zip(us, vs, gs)]
+            out.append(b"".join(gs))
+        if sum(map(len, young)) > REMEMBERED:
+            self.old, self.young = young, [{} for _ in young]
+        return out
+
+
+_kept: dict[tuple, Remembered] = {}
 
 
 def encode_pieces(docs: DataFrame, rate: float = RATE, seed: int = SEED, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
@@ -114,36 +296,30 @@ def encode_pieces(docs: DataFrame, rate: float = RATE, seed: int = SEED, model:
     """
     shared = docs.sparkSession.sparkContext.broadcast(Model.load(model))  # one vocabulary, under 2 MB
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keys, limit = word_keys(seed), int(rate * (1 << 24))
+    limit = int(rate * (1 << 24))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known: list[dict[str, bytes]] = [{} for _ in keys]
+        name = (model, seed, limit)
+        if name not in _kept:
+            _kept.clear()
+            _kept[name] = Remembered(m, seed, limit)
+        kept = _kept[name]
         for batch in batches:
             texts = [t or "" for t in column(batch, "text").to_pylist()]
             raw = [t.encode() for t in texts]
             numbers = [(-1 if x is None else x) for x in column(batch, "id").to_pylist()]
             for lo, hi in spans(raw):
-                coded, sha, back, same = [], [], [], []
-                for j in range(lo, hi):
-                    parts = []
-                    if texts[j]:
-                        segs = m.segments(" " + texts[j])
-                        draw = mix(np.arange(len(segs), dtype=np.uint64) + np.uint64((numbers[j] * 0xD1B54A32D192ED03 + seed) & _MASK)) & np.uint64(VARIANTS - 1)
-                        for seg, v in zip(segs, draw.tolist()):
-                            if (got := known[v].get(seg)) is None:
-                                got = np.array(m.encode_segment(seg, keys[v], limit), "<i4").tobytes()
-                                if len(seg) <= 40:
-                                    known[v][seg] = got
-                            parts.append(got)
-                    packed = b"".join(parts)
-                    coded.append(packed)
-                    sha.append(hashlib.sha256(packed).hexdigest())
-                    text = b"".join(map(m.decoded.__getitem__, np.frombuffer(packed, "<i4").tolist()))[1:]
+                units = [m.units(t) if t else [] for t in texts[lo:hi]]
+                salts = [(x * 0xD1B54A32D192ED03 + seed) & _MASK for x in numbers[lo:hi]]
+                draws = [(mix(np.arange(len(u), dtype=np.uint64) + np.uint64(x)) & np.uint64(VARIANTS - 1)).tolist() for u, x in zip(units, salts)]
+                coded = kept.encode(units, draws)
+                sha = [hashlib.sha256(c).hexdigest() for c in coded]
+                back, same = [], []
+                for c, t in zip(coded, raw[lo:hi]):
+                    text = b"".join(map(m.decoded.__getitem__, np.frombuffer(c, "<i4").tolist()))[1:]
                     back.append(hashlib.sha256(text).hexdigest())
-                    same.append(text == raw[j])
-                if sum(map(len, known)) > REMEMBERED:
-                    known = [{} for _ in keys]
+                    same.append(text == t)
                 counts = np.array([len(c) // 4 for c in coded], np.int64)
                 cols = [column(batch, "id").slice(lo, hi - lo), pa.array([len(t) for t in texts[lo:hi]], pa.int64()), pa.array(counts), pa.array(sha), pa.array(back), pa.array(same)]
                 names = ["doc_id", "n_chars", "n_pieces", "pieces_sha256", "decoded_sha256", "lossless"]
