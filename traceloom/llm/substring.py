@@ -69,8 +69,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs more than once. The count is a partial aggregate; the join may split a hot key's rows."""
-    often = rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    """Rows whose key occurs more than once. The count is a partial aggregate; its table is written, so that the join
+    shuffles both sides on its own and may split a hot key's rows."""
+    often = save(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "often")
     return rows.join(often, key, "left_semi")
 
 
