@@ -75,7 +75,7 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDO
             lo = 0
             while lo < len(texts):
                 hi, total = lo, 0
-                while hi < len(texts) and (hi == lo or total + len(texts[hi]) <= STEP_BYTES // 4):
+                while hi < len(texts) and (hi == lo or total + len(texts[hi]) <= STEP_BYTES // 8):
                     total += len(texts[hi])
                     hi += 1
                 got = winnow(texts[lo:hi], gram, window)
@@ -165,7 +165,7 @@ def fingerprint_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, p
                     done = True
                 else:
                     waiting.append((i, text))
-                if chars > STEP_BYTES // 2:
+                if chars > STEP_BYTES // 8:
                     yield flush()
                     chars = 0
         if ready:
