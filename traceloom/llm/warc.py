@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import column, fresh_path, map_arrow
+from traceloom.llm.common import column, fresh_path, map_arrow, save, small
 
 ROLL, DEDUP, LEVEL, CUT_SAMPLE = 8 << 20, 1000, 6, 4096
 DATE = "2024-01-01T00:00:00Z"
@@ -114,6 +114,7 @@ def marked(pages: DataFrame, dedup: int = DEDUP, key_col: str = "page_id", url_c
     ids = src.where(long).select("key", digest.alias("digest"))
     groups = ids.groupBy("digest").agg(F.max("key").alias("refers"), F.count("*").alias("n")).where("n > 1").select("digest", "refers")
     revisits = ids.join(groups, "digest").where("key < refers").select("key", "refers").distinct()
+    revisits, _ = small(save(revisits, "revisits"), 32)  # beyond the bound the pages are shuffled for the join
     return src.join(revisits, "key", "left")
 
 
