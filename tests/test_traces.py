@@ -88,6 +88,23 @@ def test_mining_and_ngrams_by_brute_force(spark, seqs):
     assert got == {k: (len(v), round(sum(v) / len(v), 2)) for k, v in edges.items()}
 
 
+def test_registered_queries_mine_to_ten(spark, tmp_path):
+    """Registered patterns of every length up to ten, against all subsequences."""
+    from traceloom import catalog
+
+    seqs = ["abcdefghijkl", "abcdefghijklx", "abcabcab", "abcabcabc", "dcba"]
+    want = Counter(q for s in seqs for q in {"".join(c) for n in range(1, 11) for c in itertools.combinations(s, n)} if brute_tail(s, q))
+    want = {" > ".join(q): c for q, c in want.items() if c >= 2}
+    assert max(map(len, want)) == 37
+    talk = [(i, j, k, "") for i, s in enumerate(seqs) for j, k in enumerate(s)]
+    spark.createDataFrame(talk, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    events = spark.createDataFrame([(n, i, k, 1_700_000_000 + j) for n, (i, j, k, _) in enumerate(talk)], "event_id long, user_id long, event_type string, t long")
+    events.selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(t) ts").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.pattern: r.support for r in catalog.mine_conversations(spark, str(tmp_path)).collect()} == want
+    found = {r.pattern: (r.support, r.confidence) for r in catalog.mine_patterns(spark, str(tmp_path)).collect()}
+    assert found == {q: (c, round(c / want[q[:-4]], 6)) for q, c in want.items() if len(q) > 1}
+
+
 def test_live_window_script(spark):
     rows = [(f"t{i % 20}", "D" if i % 3 == 0 else "H", 1_000_000_000 + i * 10_000, i, "") for i in range(100)]
     log = make(spark, rows)

@@ -15,7 +15,8 @@ from traceloom.sources import logs
 #: The live window of the table `events`, whose traces are days: seven days, a tick a day.
 DAY = 86_400.0
 WINDOW, SLIDE = 7 * DAY, DAY
-MAX_LEN = 4
+#: Longest mined pattern, as in the reference; the SQL counts no longer ones than SQL_LEVELS, and conversations of three.
+MAX_LEN, SQL_LEVELS = 10, 4
 BAD_LINES = ["", "   ", "{bad", "[1]", "42", '{"timestamp":null,"trace_id":"t"}', '{"timestamp":"x","trace_id":"t"}']
 
 
@@ -91,7 +92,7 @@ def mine_patterns(spark, sf_dir):
 
 def mine_conversations(spark, sf_dir):
     seq = traces.sequence(logs.conversations_log(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
-    return patterns.tail_supports(seq, 2, 3).select(F.array_join("pattern", " > ").alias("pattern"), "support")
+    return patterns.tail_supports(seq, 2, MAX_LEN).select(F.array_join("pattern", " > ").alias("pattern"), "support")
 
 
 def top_pairs(spark, sf_dir):
@@ -195,7 +196,7 @@ _STATS = "stats AS (SELECT cause, effect, count(DISTINCT trace_id) AS n_traces,
 _ISCORE = "CASE WHEN n_gaps < 2 OR avg_ms <= 0 OR avg_ms IS NULL THEN 0 ELSE greatest(0, 1 - least(std_ms / avg_ms, 3) / 3) END"
 
 
-def _levels(seq: str = "seq", n: int = MAX_LEN) -> str:
+def _levels(seq: str = "seq", n: int = SQL_LEVELS) -> str:
     out = [f"l1 AS (SELECT trace_id, len, [event_key] AS pattern, min(pos) AS e FROM {seq} GROUP BY ALL HAVING min(pos) < len)"]
     for i in range(2, n + 1):
         out.append(f"l{i} AS (SELECT l.trace_id, l.len, list_append(l.pattern, s.event_key) AS pattern, min(s.pos) AS e FROM l{i - 1} l JOIN {seq} s ON s.trace_id = l.trace_id AND s.pos > l.e GROUP BY ALL HAVING min(s.pos) < l.len)")
