@@ -163,6 +163,17 @@ def test_batched_merges_equal_the_agenda(documents):
     assert got == [b"".join(kept.one(x, i % 4) for i, x in enumerate(u)) for u in units]
 
 
+def test_every_occurrence_draws_its_own_dropout(spark):
+    m = pieces.Model.load()
+    assert len(m.encode("a")) == 1  # one merge, of the space and the letter
+    n = 4000
+    rows = [(1, " ".join(["a"] * n)), (2, " ".join(["information"] * n))]
+    got = {r.doc_id: r for r in pieces.encode_pieces(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 0.08 * n < got[1].n_pieces - n < 0.12 * n  # five standard deviations are 0.024 n
+    parts = "|".join(m.decoded[i].decode() for i in got[2].pieces)
+    assert len(set(re.split(r"\|(?= )", parts))) > 20  # four at most with four keys
+
+
 def brute_top(rows, k=20, every=20):
     ok = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []

@@ -4,16 +4,20 @@ The vocabulary is a public SentencePiece BPE model with byte fallback. Encoding
 piece on an agenda, best piece first and leftmost of ties, and merges from it; with dropout, a candidate taken from the
 agenda is skipped if a hash of (key, place, piece) falls below the rate, for good, though a later neighbour may offer
 another. No piece holds a space after another character, so each run of spaces with what follows it is encoded alone.
-A word's key is one of VARIANTS, drawn by a hash of seed, document and place: reruns agree, and equal words in
-different places differ. Pieces' bytes joined, without the first space, are the text.
+Every occurrence of a word has a key of its own, a hash of seed, document and place: reruns agree, and equal words in
+different places are drawn apart. What is remembered of a word is its encoding without dropout and the merges that make
+it; an occurrence whose key skips none of these has that encoding, any other is encoded under its key. Pieces' bytes
+joined, without the first space, are the text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain, islice
 from struct import pack
 
 import numpy as np
@@ -24,11 +28,12 @@ from pyspark.sql import functions as F
 from traceloom.llm.common import column, map_arrow, mix, spans
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, SEED, VARIANTS = 0.1, 11, 4
-#: Segments that a Python worker remembers a generation, about 200 bytes each.
-REMEMBERED = 700_000
+RATE, SEED = 0.1, 11
+#: Units that a Python worker remembers, about 280 bytes each, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 900_000, 16_000_000
 SEGMENT = re.compile(r" *[^ \n]+|\n| +")
 _MASK = (1 << 64) - 1
+_STEPS = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
 
 
 class Model:
@@ -90,8 +95,9 @@ class Model:
             return [unit[2:]]
         return ["\n", unit[1:]] if len(unit) > 1 else ["\n"]
 
-    def encode_segment(self, seg: str, places: list[int] | None = None, limit: int = 0) -> list[int]:
-        """Piece numbers. A candidate is skipped if the hash of its piece, crossed with its place's number, is below limit."""
+    def encode_segment(self, seg: str, places: list[int] | None = None, limit: int = 0, path: list[tuple[int, int]] | None = None) -> list[int]:
+        """Piece numbers. A candidate is skipped if the hash of its piece, crossed with its place's number, is below limit.
+        Merges, as rank and place, are added to `path`."""
         rank, n = self.rank.get, len(seg)
         agenda = [(r, a, a + 1, a + 2) for a in range(n - 1) if (r := rank(seg[a : a + 2])) is not None]
         heapify(agenda)
@@ -102,6 +108,8 @@ class Model:
                 continue
             if limit and self.hashes[r] ^ places[a & 255] < limit:
                 continue
+            if path is not None:
+                path.append((r, a))
             end[a], end[m], begin[b] = b, -1, a
             if a:
                 p = begin[a]
@@ -135,7 +143,7 @@ class Model:
 
 def place_numbers(key: int) -> list[int]:
     """24-bit numbers that stand for a key and a place in a segment; places repeat after 256."""
-    return (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(key & _MASK)) >> np.uint64(40)).tolist()
+    return (mix(_STEPS + np.uint64(key & _MASK)) >> np.uint64(40)).tolist()
 
 
 class Batch:
@@ -144,10 +152,9 @@ class Batch:
 
     NONE = np.int32(1 << 30)
 
-    def __init__(self, model: Model, places: list[list[int]], limit: int):
+    def __init__(self, model: Model, limit: int):
         self.model, self.limit = model, limit
-        self.places = np.array(places, np.int64)
-        self.hashes = np.array(model.hashes, np.int64)
+        self.hashes = np.array(model.hashes, np.uint64)
         self.number = np.array(model.number, np.int32)
         self.single = np.full(1 << 16, -1, np.int32)  # ranks of one-character pieces
         pairs = {}
@@ -166,8 +173,11 @@ class Batch:
                 at += 1
             self.keys[at], self.ranks[at] = key, r
 
-    def merged(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Ranks of pairs' pieces; NONE where there is none or it is skipped."""
+    def skips(self, rank: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return self.hashes[rank] ^ mix(_STEPS[start & 255] + key) >> np.uint64(40) < self.limit
+
+    def merged(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, key: np.ndarray | None) -> np.ndarray:
+        """Ranks of pairs' pieces; NONE where there is none or it is skipped. Without keys nothing is skipped."""
         name = left.astype(np.int64) << 16 | right
         at = (name.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
         out = np.full(len(name), self.NONE, np.int32)
@@ -178,14 +188,16 @@ class Batch:
             out[own[hit]] = self.ranks[at[own[hit]]]
             own = own[~hit & (found != -1)]
             at[own] += 1
-        has = np.flatnonzero(out != self.NONE)
-        skip = self.hashes[out[has]] ^ self.places[key[has], start[has] & 255] < self.limit
-        out[has[skip]] = self.NONE
+        if key is not None:
+            has = np.flatnonzero(out != self.NONE)
+            out[has[self.skips(out[has], start[has], key[has])]] = self.NONE
         return out
 
-    def encode(self, segments: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers, and their counts a segment, of segments of about equally many characters; a segment with a character
-        that is no piece gets none."""
+    def encode(self, segments: list[str], keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Numbers, their counts a segment, and the merges (segment, rank and place, in order of segments) of segments of
+        about equally many characters; a segment with a character that is no piece gets none."""
+        own = (lambda r: None) if keys is None else keys.__getitem__
+        path = []
         n = len(segments)
         sizes = np.fromiter(map(len, segments), np.int64, n)
         width = int(sizes.max())
@@ -196,7 +208,7 @@ class Batch:
         start = np.tile(np.arange(width), (n, 1))
         cand = np.full((n, width), self.NONE, np.int32)
         if width > 1:
-            cand[:, :-1] = self.merged(sym[:, :-1].ravel(), sym[:, 1:].ravel(), start[:, :-1].ravel(), np.repeat(keys, width - 1)).reshape(n, -1)
+            cand[:, :-1] = self.merged(sym[:, :-1].ravel(), sym[:, 1:].ravel(), start[:, :-1].ravel(), own(np.repeat(np.arange(n), width - 1))).reshape(n, -1)
         rows, done, places = np.arange(n), np.full((n, width), -1, np.int32), np.arange(width)
         while len(rows):
             j = cand.argmin(axis=1)
@@ -210,76 +222,140 @@ class Batch:
             w = sym.shape[1]
             at = np.minimum(places[: w - 1] + (places[: w - 1] > j[:, None]), w - 1)
             every = np.arange(len(rows))
+            if keys is None:
+                path.append((rows, best, start[every, j]))
             sym, start, cand = (np.take_along_axis(x, at, axis=1) for x in (sym, start, cand))
             sym[every, j] = best
             cand[every, j] = self.NONE
             if w - 1 > 1:
                 right = j + 1 < w - 1
                 e, c = every[right], j[right]
-                cand[e, c] = self.merged(sym[e, c], sym[e, c + 1], start[e, c], keys[rows[e]])
+                cand[e, c] = self.merged(sym[e, c], sym[e, c + 1], start[e, c], own(rows[e]))
                 left = j > 0
                 e, c = every[left], j[left] - 1
-                cand[e, c] = self.merged(sym[e, c], sym[e, c + 1], start[e, c], keys[rows[e]])
+                cand[e, c] = self.merged(sym[e, c], sym[e, c + 1], start[e, c], own(rows[e]))
         has = done >= 0
-        return self.number[done[has]], has.sum(axis=1)
+        if path:
+            row, rank, place = (np.concatenate(x) for x in zip(*path))
+            order = np.argsort(row, kind="stable")
+            merges = row[order], rank[order], place[order]
+        else:
+            merges = (np.zeros(0, np.int64),) * 3
+        return self.number[done[has]], has.sum(axis=1), merges
 
 
 class Remembered:
-    """Units' packed piece numbers under each key, in two generations: what is looked up stays, what is not goes when the
-    younger one is full. A Python worker keeps it from task to task."""
+    """Units' packed piece numbers without dropout and the merges that make them. A Python worker keeps it from task to
+    task, and it starts anew when full."""
 
     def __init__(self, model: Model, seed: int, limit: int):
-        self.model, self.limit = model, limit
-        keys = mix(np.arange(1, VARIANTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed & _MASK)).tolist()
-        self.places = [place_numbers(k) for k in keys]
-        self.batch = Batch(model, self.places, limit)
-        self.young: list[dict[str, bytes]] = [{} for _ in keys]
-        self.old: list[dict[str, bytes]] = [{} for _ in keys]
-
-    def one(self, unit: str, v: int) -> bytes:
-        ids = [i for s in self.model.named(unit) for i in self.model.encode_segment(s, self.places[v], self.limit)]
+        self.model, self.seed, self.limit = model, seed, limit
+        self.batch = Batch(model, limit)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: defaultdict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.chars = 0
+        self.units: list[str] = []
+        self.plain: list[bytes] = []
+        #: Of each unit: characters of the segment that a batch may encode, 0 if none; where its merges begin; how many.
+        self.lengths, self.first, self.merges = (np.zeros(0, np.int64) for _ in range(3))
+        self.ranks, self.places = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+
+    def keys(self, draws: np.ndarray) -> np.ndarray:
+        return mix(draws * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed & _MASK))
+
+    def one(self, unit: str, draw: int) -> bytes:
+        places = place_numbers(int(self.keys(np.array([draw], np.uint64))[0]))
+        ids = [i for s in self.model.named(unit) for i in self.model.encode_segment(s, places, self.limit)]
         return pack(f"<{len(ids)}i", *ids)
 
-    def learn(self, missing: set[tuple[int, str]]) -> dict[tuple[int, str], bytes]:
-        """Remember units that the younger generation does not have; returns what is too long to be remembered."""
-        long, segments = {}, []
-        for v, u in missing:
-            if (got := self.old[v].get(u)) is not None:
-                self.young[v][u] = got
-            elif len(u) > 40:
-                long[v, u] = self.one(u, v)
-            elif u[:1] == "\n":
-                self.young[v][u] = self.one(u, v)
-            else:
-                segments.append((len(u), v, u))
-        segments.sort()
-        lo = 0
-        while lo < len(segments):
-            hi = min(lo + 8192, len(segments))
-            while segments[hi - 1][0] > segments[lo][0] + 2:
-                hi = lo + (hi - lo + 1) // 2
-            part = segments[lo:hi]
-            ids, counts = self.batch.encode([" " + u for _, _, u in part], np.array([v for _, v, _ in part]))
+    def parts(self, lengths: np.ndarray) -> Iterator[np.ndarray]:
+        """Indexes of positive lengths, in parts of about one length."""
+        order = np.argsort(lengths, kind="stable")
+        lo = int((lengths <= 0).sum())
+        sizes = lengths[order]
+        while lo < len(order):
+            hi = min(lo + 8192, int(np.searchsorted(sizes, sizes[lo] + 2, side="right")))
+            yield order[lo:hi]
+            lo = hi
+
+    def learn(self, units: list[str]) -> None:
+        """Remember new units."""
+        n = len(units)
+        plain: list[bytes] = [b""] * n
+        lengths = np.fromiter((len(u) + 1 if u[:1] != "\n" and len(u) <= 40 else 0 for u in units), np.int64, n)
+        rows, ranks, places = [], [], []
+        for part in self.parts(lengths):
+            ids, counts, (row, rank, place) = self.batch.encode([" " + units[i] for i in part.tolist()])
             packed, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
             at = 0
-            for (_, v, u), end in zip(part, ends):
-                self.young[v][u] = packed[at:end] if end > at else self.one(u, v)
+            for i, end in zip(part.tolist(), ends):
+                plain[i] = packed[at:end]
                 at = end
-            lo = hi
-        return long
-
-    def encode(self, units: list[list[str]], draws: list[list[int]]) -> list[bytes]:
-        """Packed numbers of texts given as units and their keys' numbers."""
-        young = self.young
-        got = [[young[v].get(u) for u, v in zip(us, vs)] for us, vs in zip(units, draws)]
-        long = self.learn({(v, u) for us, vs, gs in zip(units, draws, got) for u, v, g in zip(us, vs, gs) if g is None})
+            lengths[part[counts == 0]] = 0
+            rows.append(part[row])
+            ranks.append(rank)
+            places.append(place)
+        for i in np.flatnonzero(lengths == 0).tolist():
+            path: list[tuple[int, int]] = []
+            ids = [x for s in self.model.named(units[i]) for x in self.model.encode_segment(s, path=path)]
+            plain[i] = pack(f"<{len(ids)}i", *ids)
+            rows.append(np.full(len(path), i))
+            ranks.append(np.array([r for r, _ in path], np.int64))
+            places.append(np.array([a for _, a in path], np.int64))
+        row = np.concatenate(rows or [np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.argsort(row, kind="stable")
+        merges = np.bincount(row, minlength=n)
+        self.first = np.concatenate([self.first, len(self.ranks) + np.cumsum(merges) - merges])
+        self.merges = np.concatenate([self.merges, merges])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        if rows:
+            self.ranks = np.concatenate([self.ranks, np.concatenate(ranks)[order].astype(np.int32)])
+            self.places = np.concatenate([self.places, (np.concatenate(places)[order] & 255).astype(np.uint8)])
+        self.units += units
+        self.plain += plain
+        self.chars += sum(map(len, units))
+
+    def changed(self, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Indexes of the occurrences whose key skips a merge of their unit."""
         out = []
-        for us, vs, gs in zip(units, draws, got):
-            if None in gs:
-                gs = [g if g is not None else young[v].get(u) or long[v, u] for u, v, g in zip(us, vs, gs)]
-            out.append(b"".join(gs))
-        if sum(map(len, young)) > REMEMBERED:
-            self.old, self.young = young, [{} for _ in young]
+        for lo in range(0, len(ids), 1 << 15):
+            own, key = ids[lo : lo + (1 << 15)], keys[lo : lo + (1 << 15)]
+            n = self.merges[own]
+            at = np.arange(int(n.sum())) + np.repeat(self.first[own] - (np.cumsum(n) - n), n)
+            skip = self.batch.skips(self.ranks[at], self.places[at], np.repeat(key, n))
+            out.append(lo + np.unique(np.repeat(np.arange(len(own)), n)[skip]))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def encode(self, units: list[list[str]], draws: list) -> list[bytes]:
+        """Packed numbers of texts given as units and a number for every one's key."""
+        if len(self.units) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.forget()
+        n = sum(map(len, units))
+        ids = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(units)), np.int64, n)
+        self.learn(list(islice(self.numbers, len(self.units), None)))
+        drawn = np.concatenate([np.asarray(d, np.uint64) for d in draws] or [np.zeros(0, np.uint64)])
+        coded = list(map(self.plain.__getitem__, ids.tolist()))
+        if self.limit:
+            keys = self.keys(drawn)
+            at = self.changed(ids, keys)
+            lengths = self.lengths[ids[at]]
+            for part in self.parts(lengths):
+                own = at[part]
+                numbers, counts, _ = self.batch.encode([" " + self.units[i] for i in ids[own].tolist()], keys[own])
+                packed, ends = numbers.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
+                lo = 0
+                for i, end in zip(own.tolist(), ends):
+                    coded[i] = packed[lo:end]
+                    lo = end
+            for i in at[lengths == 0].tolist():
+                coded[i] = self.one(self.units[ids[i]], int(drawn[i]))
+        out, lo = [], 0
+        for us in units:
+            out.append(b"".join(coded[lo : lo + len(us)]))
+            lo += len(us)
         return out
 
 
@@ -312,7 +388,7 @@ def encode_pieces(docs: DataFrame, rate: float = RATE, seed: int = SEED, model:
             for lo, hi in spans(raw):
                 units = [m.units(t) if t else [] for t in texts[lo:hi]]
                 salts = [(x * 0xD1B54A32D192ED03 + seed) & _MASK for x in numbers[lo:hi]]
-                draws = [(mix(np.arange(len(u), dtype=np.uint64) + np.uint64(x)) & np.uint64(VARIANTS - 1)).tolist() for u, x in zip(units, salts)]
+                draws = [mix(np.arange(len(u), dtype=np.uint64) + np.uint64(x)) for u, x in zip(units, salts)]
                 coded = kept.encode(units, draws)
                 sha = [hashlib.sha256(c).hexdigest() for c in coded]
                 back, same = [], []
