@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from traceloom.llm import components, langid, lm, mixing, pieces, simhash, substring, topk, toxicity, warc, winnow
+from traceloom.llm import common, components, langid, lm, mixing, pieces, simhash, substring, topk, toxicity, warc, winnow
 
 WORD = rb"[^\x20\x09-\x0D]+"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, row string, score string"
@@ -224,6 +224,17 @@ def test_warc(spark, sf, tmp_path):
     assert warc.round_trip(df.limit(0), f"{folder}3").collect() == []
 
 
+def test_warc_judges_rows_of_one_id_by_their_own_payload(spark, tmp_path, monkeypatch):
+    a, b, c = ("<p>" + x * 2000 for x in "abc")
+    df = spark.createDataFrame([(1, "u", a), (1, "u", b), (2, "u", a), (3, "u", a), (3, "u", c), (4, "u", c), (5, "u", a)], "page_id long, url string, html string")
+    want = sorted([(1, "revisit", 5, None), (1, "response", None, b), (2, "revisit", 5, None), (3, "revisit", 5, None), (3, "revisit", 4, None), (4, "response", None, c), (5, "response", None, a)], key=str)
+    for i, limit in enumerate((1 << 26, -1)):
+        monkeypatch.setattr(warc, "small", lambda df, n, limit=limit, small=common.small: small(df, n, limit))
+        warc.write_archives(df, f"file://{tmp_path}/{i}", shards=2)
+        got = warc.read_archives(spark, f"file://{tmp_path}/{i}").collect()
+        assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload and bytes(r.payload).decode()) for r in got), key=str) == want
+
+
 def brute_winnow(t, k=winnow.GRAM, w=winnow.WINDOW):
     grams = [int(winnow.winnow([t[i : i + k]])[0][0][0]) for i in range(len(t) - k + 1)] if len(t) >= k else []
     if not grams:

@@ -104,18 +104,18 @@ def _open(folder: str):
 def marked(pages: DataFrame, dedup: int = DEDUP, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """(key, url, html, refers): refers is the response's key for revisits.
 
-    Only digests that occur more than once are joined, and the digest's count and largest key are partial aggregates;
+    Only digests that occur more than once are joined, revisits come back by key and digest, and the digest's count and largest key are partial aggregates;
     the join may split a digest that a third of the pages share. Pages with a null key are responses of their own.
     """
     html = F.coalesce(F.col(payload_col), F.lit(""))
     src = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
-    digest = F.sha1(F.col("html").cast("binary"))
+    src = src.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     long = (F.octet_length("html") >= dedup) & F.col("key").isNotNull()
-    ids = src.where(long).select("key", digest.alias("digest"))
+    ids = src.where(long).select("key", "digest")
     groups = ids.groupBy("digest").agg(F.max("key").alias("refers"), F.count("*").alias("n")).where("n > 1").select("digest", "refers")
-    revisits = ids.join(groups, "digest").where("key < refers").select("key", "refers").distinct()
-    revisits, _ = small(save(revisits, "revisits"), 32)  # beyond the bound the pages are shuffled for the join
-    return src.join(revisits, "key", "left")
+    revisits = ids.join(groups, "digest").where("key < refers").select("key", "digest", "refers").distinct()
+    revisits, _ = small(save(revisits, "revisits"), 80)  # beyond the bound the pages are shuffled for the join
+    return src.join(revisits, ["key", "digest"], "left").drop("digest")
 
 
 def write_archives(pages: DataFrame, folder: str, shards: int | None = None, roll: int = ROLL, **columns) -> DataFrame:
