@@ -13,9 +13,10 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language; texts without a letter go. A missing lang is filled with the prediction."""
-    found = langid.identify(docs, carry=True).where(F.col("lang_pred") != langid.UNKNOWN)
-    cols = [F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns]
+    """Rows whose text has a letter. A missing lang is filled with the prediction, and stays null if nothing was learned."""
+    found = langid.identify(docs, carry=True)
+    found = found.where((F.col("lang_pred") != langid.UNKNOWN) | F.col("row.text").rlike(r"\p{L}"))
+    cols = [F.coalesce(F.col("row.lang"), F.expr(f"nullif(lang_pred, '{langid.UNKNOWN}')")).alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns]
     return found.select(*cols)
 
 

@@ -43,3 +43,10 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
                 assert out.columns == docs.columns
                 docs = corpus_pipeline.save(out, "test")
         assert out.count() >= 0
+
+
+def test_texts_stay_where_no_language_was_learned(spark):
+    rows = [(1, "some text", None), (2, "12 34", None), (3, None, None), (4, "more über", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.language_id(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in got) == [(1, "some text", None), (4, "more über", None)]
