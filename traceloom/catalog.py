@@ -15,8 +15,8 @@ from traceloom.sources import logs
 #: The live window of the table `events`, whose traces are days: seven days, a tick a day.
 DAY = 86_400.0
 WINDOW, SLIDE = 7 * DAY, DAY
-#: Longest mined pattern, as in the reference; the SQL counts no longer ones than SQL_LEVELS, and conversations of three.
-MAX_LEN, SQL_LEVELS = 10, 4
+#: Longest mined pattern.
+MAX_LEN = 10
 BAD_LINES = ["", "   ", "{bad", "[1]", "42", '{"timestamp":null,"trace_id":"t"}', '{"timestamp":"x","trace_id":"t"}']
 
 
@@ -129,6 +129,11 @@ def explain(spark, sf_dir):
     return out.select("cause", "effect", "explanation", scoring.level(F.col("confidence_score")).alias("level"), scoring.bar(F.col("confidence_score")).alias("bar"))
 
 
+def score_levels(spark, sf_dir):
+    score = F.col("confidence_score")
+    return infer_pairs(_log(spark, sf_dir), "ext", 2, MAX_LEN).select("cause", "effect", scoring.level(score).alias("level"), scoring.bar(score).alias("bar"))
+
+
 def window_snapshot(spark, sf_dir):
     return window.window_stats(_log(spark, sf_dir), WINDOW, SLIDE)
 
@@ -156,12 +161,25 @@ def cusum_noreset(spark, sf_dir):
 EVENTS_RULE = anomaly.Rule(min_samples=5, threshold=4.0, min_rising=25.0, change=5.0, cooldown=2 * DAY, breaches=1)
 
 
+def _flat(found):
+    """Alerts with their details as columns of their own."""
+    return found.select(*[c for c in found.columns if c != "details"], "details.*")
+
+
 def alerts(spark, sf_dir):
-    return anomaly.detect(_samples(spark, sf_dir), EVENTS_RULE)
+    return _flat(anomaly.detect(_samples(spark, sf_dir), EVENTS_RULE))
+
+
+#: Three breaches in a row, as the default rule asks for, on the scale of the table.
+LASTING_RULE = anomaly.Rule(min_samples=5, threshold=4.0, min_rising=25.0, change=5.0, cooldown=2 * DAY, breaches=3)
+
+
+def lasting_alerts(spark, sf_dir):
+    return _flat(anomaly.detect(_samples(spark, sf_dir), LASTING_RULE))
 
 
 def recent_alerts(spark, sf_dir):
-    return anomaly.recent_alerts(alerts(spark, sf_dir), 50)
+    return _flat(anomaly.recent_alerts(anomaly.detect(_samples(spark, sf_dir), EVENTS_RULE), 10))
 
 
 def active_traces(spark, sf_dir):
@@ -171,20 +189,20 @@ def active_traces(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [log_normalise, event_stats, log_stats, top_events, trace_stats, edge_stats_all_pairs, ext_sorted, pair_contingency, pair_metrics, item_tail_support, pattern_len2, mine_patterns, mine_conversations, top_pairs, ngram_counts, heavy_hitters, sketch_hitters, count_min_sketch, explain, window_snapshot, rt_scores, score_baseline, cusum_noreset, alerts, recent_alerts, active_traces]
+    own = [log_normalise, event_stats, log_stats, top_events, trace_stats, edge_stats_all_pairs, ext_sorted, pair_contingency, pair_metrics, item_tail_support, pattern_len2, mine_patterns, mine_conversations, top_pairs, ngram_counts, heavy_hitters, sketch_hitters, count_min_sketch, explain, window_snapshot, rt_scores, score_baseline, cusum_noreset, alerts, lasting_alerts, recent_alerts, active_traces, score_levels]
     made = {f"interval_{m}": _intervals(m) for m in ("mem", "ext", "rt")} | {f"infer_{m}": _infer(m) for m in ("mem", "ext", "rt")}
     return {f.__name__: f for f in own} | made
 
 
 _LOG = """log AS (SELECT CAST(user_id AS VARCHAR) || '|' || CAST(CAST(ts AS DATE) AS VARCHAR) AS trace_id, event_type AS event_key, epoch_us(ts) AS us, event_id AS arrival FROM events)"""
 _SEQ = f"""{_LOG},
-seq AS (SELECT trace_id, event_key, us, arrival, row_number() OVER (PARTITION BY trace_id ORDER BY us, arrival) AS pos, count(*) OVER (PARTITION BY trace_id) AS len FROM log),
+seq AS MATERIALIZED (SELECT trace_id, event_key, us, arrival, row_number() OVER (PARTITION BY trace_id ORDER BY us, arrival) AS pos, count(*) OVER (PARTITION BY trace_id) AS len FROM log),
 rt AS (SELECT trace_id, event_key, us, row_number() OVER (PARTITION BY trace_id ORDER BY arrival) AS pos FROM log),
-firsts AS (SELECT trace_id, event_key, min(pos) AS fpos, arg_min(us, pos) AS fus, any_value(len) AS len FROM seq GROUP BY ALL),
+firsts AS MATERIALIZED (SELECT trace_id, event_key, min(pos) AS fpos, arg_min(us, pos) AS fus, any_value(len) AS len FROM seq GROUP BY ALL),
 keys AS (SELECT DISTINCT trace_id, event_key FROM log),
-total AS (SELECT count(DISTINCT trace_id) AS total FROM log),
+total AS MATERIALIZED (SELECT count(DISTINCT trace_id) AS total FROM log),
 n AS (SELECT event_key, count(*) AS n FROM keys GROUP BY ALL),
-tails AS (SELECT event_key, count(*) AS tail_support FROM firsts WHERE fpos < len GROUP BY ALL)"""
+tails AS MATERIALIZED (SELECT event_key, count(*) AS tail_support FROM firsts WHERE fpos < len GROUP BY ALL)"""
 _BOTH = """both_ AS (SELECT a.event_key AS cause, b.event_key AS effect, count(*) AS both_n FROM keys a JOIN keys b USING (trace_id) WHERE a.event_key <> b.event_key GROUP BY ALL),
 counts AS (SELECT cause, effect, total, c.n AS cause_traces, e.n AS effect_traces, both_n FROM both_ JOIN n c ON c.event_key = cause JOIN n e ON e.event_key = effect, total)"""
 _GAPS = {
@@ -196,17 +214,25 @@ _STATS = "stats AS (SELECT cause, effect, count(DISTINCT trace_id) AS n_traces,
 _ISCORE = "CASE WHEN n_gaps < 2 OR avg_ms <= 0 OR avg_ms IS NULL THEN 0 ELSE greatest(0, 1 - least(std_ms / avg_ms, 3) / 3) END"
 
 
-def _levels(seq: str = "seq", n: int = SQL_LEVELS) -> str:
-    out = [f"l1 AS (SELECT trace_id, len, [event_key] AS pattern, min(pos) AS e FROM {seq} GROUP BY ALL HAVING min(pos) < len)"]
-    for i in range(2, n + 1):
-        out.append(f"l{i} AS (SELECT l.trace_id, l.len, list_append(l.pattern, s.event_key) AS pattern, min(s.pos) AS e FROM l{i - 1} l JOIN {seq} s ON s.trace_id = l.trace_id AND s.pos > l.e GROUP BY ALL HAVING min(s.pos) < l.len)")
-    union = " UNION ALL ".join(f"SELECT pattern, count(*) AS support FROM l{i} GROUP BY ALL HAVING count(*) >= 2" for i in range(1, n + 1))
-    return ",\n".join([*out, f"sup AS ({union})"])
+def _levels(seq: str = "seq", n: int = MAX_LEN) -> str:
+    """l1 to ln: traces and ends of the sequences of each length; s1 to sn: those of enough support, which alone grow."""
+    out = [f"l1 AS MATERIALIZED (SELECT trace_id, len, [event_key] AS pattern, min(pos) AS e FROM {seq} GROUP BY ALL HAVING min(pos) < len)"]
+    for i in range(1, n + 1):
+        out.append(f"s{i} AS MATERIALIZED (SELECT pattern, count(*) AS support FROM l{i} GROUP BY ALL HAVING count(*) >= 2)")
+        if i < n:
+            out.append(f"""l{i + 1} AS MATERIALIZED (SELECT l.trace_id, l.len, list_append(l.pattern, s.event_key) AS pattern, min(s.pos) AS e
+  FROM l{i} l JOIN s{i} USING (pattern) JOIN {seq} s ON s.trace_id = l.trace_id AND s.pos > l.e GROUP BY ALL HAVING min(s.pos) < l.len)""")
+    union = " UNION ALL ".join(f"SELECT pattern, support FROM s{i}" for i in range(1, n + 1))
+    return ",\n".join([*out, f"sup AS MATERIALIZED ({union})"])
 
 
-_PATTERNS = f"""{_levels()},
-pat AS (SELECT s.pattern, s.support, s.support / p.support::DOUBLE AS confidence, (s.support / total::DOUBLE) / ((p.support / total::DOUBLE) * (t.tail_support / total::DOUBLE)) AS lift
+def _patterns(n: int = MAX_LEN) -> str:
+    return f"""{_levels(n=n)},
+pat AS MATERIALIZED (SELECT s.pattern, s.support, s.support / p.support::DOUBLE AS confidence, (s.support / total::DOUBLE) / ((p.support / total::DOUBLE) * (t.tail_support / total::DOUBLE)) AS lift
   FROM sup s JOIN sup p ON p.pattern = s.pattern[:-2] JOIN tails t ON t.event_key = s.pattern[-1], total WHERE len(s.pattern) > 1)"""
+
+
+_PATTERNS = _patterns()
 _NGRAMS = """lists AS (SELECT trace_id, list(event_key ORDER BY pos) AS k FROM seq GROUP BY ALL),
 starts AS (SELECT k, unnest(range(1, len(k))) AS i FROM lists),
 sized AS (SELECT k, i, unnest(range(2, least(8, len(k) - i + 1) + 1)) AS m FROM starts),
@@ -245,6 +271,30 @@ b0 AS (SELECT cause, effect, tick, score, row_number() OVER w AS n, avg(score) O
 base AS (SELECT cause, effect, tick // 1000000 AS ts, score, n, CASE WHEN n > 10 THEN m ELSE 0 END AS baseline_mean, CASE WHEN n > 10 THEN sd ELSE 0 END AS baseline_std FROM b0)"""
 
 
+def _alerts(rule: anomaly.Rule) -> str:
+    """The rule as a recursion over a pair's samples, one at a time; figures are rounded as printed."""
+    shown = lambda x: f"CAST(format('{{:.1f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"
+    spike = f"x.mean < {rule.min_rising - 10}::DOUBLE AND x.score >= {rule.min_rising}::DOUBLE AND abs(x.score - x.mean) >= {rule.change}::DOUBLE"
+    return f"""{_RT.replace("log AS (", "log AS MATERIALIZED (")},
+s0 AS MATERIALIZED (SELECT cause, effect, (tick / 1e6)::DOUBLE AS ts, score, co_occurrence AS co, row_number() OVER w AS n, avg(score) OVER p AS m, stddev_pop(score) OVER p AS sd FROM rts
+  WINDOW w AS (PARTITION BY cause, effect ORDER BY tick), p AS (PARTITION BY cause, effect ORDER BY tick ROWS BETWEEN {rule.baseline} PRECEDING AND 1 PRECEDING)),
+samples AS MATERIALIZED (SELECT cause, effect, ts, score, co, n, CASE WHEN n > {rule.min_samples} THEN m ELSE 0 END AS mean, CASE WHEN n > {rule.min_samples} THEN sd ELSE 0 END AS std FROM s0),
+fold AS (
+  SELECT DISTINCT cause, effect, 0::BIGINT AS n, 0::DOUBLE AS up, 0::DOUBLE AS down, 0 AS breaches, -1e18::DOUBLE AS quiet, NULL::DOUBLE AS ts, NULL::DOUBLE AS score, NULL::BIGINT AS co, 0::DOUBLE AS mean, 0::DOUBLE AS std, false AS spike, false AS fired FROM samples
+  UNION ALL
+  SELECT cause, effect, n, up, down, breaches, CASE WHEN live AND breaches >= {rule.breaches} THEN ts ELSE quiet END, ts, score, co, mean, std, spike, live AND breaches >= {rule.breaches} FROM (
+    SELECT *, CASE WHEN NOT live THEN was ELSE CASE WHEN spike OR (up >= {rule.threshold} AND score >= {rule.min_rising}) THEN was + 1 ELSE greatest(0, was - 1) END END AS breaches FROM (
+      SELECT x.cause, x.effect, x.n, x.ts, x.score, x.co, x.mean, x.std, f.quiet, CASE WHEN f.fired THEN 0 ELSE f.breaches END AS was, {spike} AS spike,
+        x.n >= {rule.min_samples} AND x.ts - f.quiet >= {rule.cooldown} AS live,
+        CASE WHEN x.n >= {rule.min_samples} AND x.ts - f.quiet >= {rule.cooldown} THEN greatest(0::DOUBLE, CASE WHEN f.fired THEN 0 ELSE f.up END + (x.score - x.mean) - greatest(5::DOUBLE, 1.5::DOUBLE * x.std)) ELSE CASE WHEN f.fired THEN 0 ELSE f.up END END AS up,
+        CASE WHEN x.n >= {rule.min_samples} AND x.ts - f.quiet >= {rule.cooldown} THEN greatest(0::DOUBLE, CASE WHEN f.fired THEN 0 ELSE f.down END - (x.score - x.mean) - greatest(5::DOUBLE, 1.5::DOUBLE * x.std)) ELSE CASE WHEN f.fired THEN 0 ELSE f.down END END AS down
+      FROM fold f JOIN samples x ON x.cause = f.cause AND x.effect = f.effect AND x.n = f.n + 1))),
+found AS (SELECT 'alert_' || CAST(ts AS BIGINT) || '_' || cause || '_' || effect AS alert_id, ts AS "timestamp", cause, effect, {shown("mean")} AS old_score, {shown("score")} AS new_score, {shown("abs(score - mean)")} AS change_magnitude,
+  CASE WHEN spike THEN 'spike' ELSE 'cusum' END AS alert_type,
+  cause || ' -> ' || effect || ': score ' || CASE WHEN spike THEN format('rose from {{:.1f}} to {{:.1f}}, by {{:.1f}}', mean, score, abs(score - mean)) ELSE format('stayed high for {{}} samples, now {{:.1f}} over a baseline of {{:.1f}}', breaches, score, mean) END AS message,
+  {shown("mean")} AS baseline_mean, {shown("std")} AS baseline_std, {shown("up")} AS cusum_pos, {shown("down")} AS cusum_neg, breaches AS consec_breaches, co AS current_co_occurrence FROM fold WHERE fired)"""
+
+
 def oracle_sql() -> dict[str, str]:
     cont = "cause_traces - both_n AS cause_only, effect_traces - both_n AS effect_only"
     out = {
@@ -257,9 +307,9 @@ def oracle_sql() -> dict[str, str]:
         "pair_contingency": f"WITH {_SEQ}, {_BOTH} SELECT cause, effect, total, cause_traces, effect_traces, both_n AS both, {cont} FROM counts",
         "pair_metrics": f"WITH {_SEQ}, {_BOTH} SELECT cause, effect, round(both_n / total::DOUBLE, 4) AS support, round(both_n / cause_traces::DOUBLE, 4) AS confidence, round((both_n / total::DOUBLE) / ((cause_traces / total::DOUBLE) * (effect_traces / total::DOUBLE)), 4) AS lift FROM counts",
         "item_tail_support": f"WITH {_SEQ} SELECT event_key, tail_support FROM tails",
-        "pattern_len2": f"WITH {_SEQ}, {_PATTERNS} SELECT pattern[1] AS cause, pattern[2] AS effect, support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM pat WHERE len(pattern) = 2",
+        "pattern_len2": f"WITH {_SEQ}, {_patterns(2)} SELECT pattern[1] AS cause, pattern[2] AS effect, support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM pat WHERE len(pattern) = 2",
         "mine_patterns": f"WITH {_SEQ}, {_PATTERNS} SELECT array_to_string(pattern, ' > ') AS pattern, support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM pat",
-        "mine_conversations": "WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS trace_id, role AS event_key, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, count(*) OVER (PARTITION BY conv_id) AS len FROM conversations), " + _levels("c", 3) + " SELECT array_to_string(pattern, ' > ') AS pattern, support FROM sup",
+        "mine_conversations": "WITH c AS MATERIALIZED (SELECT CAST(conv_id AS VARCHAR) AS trace_id, role AS event_key, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, count(*) OVER (PARTITION BY conv_id) AS len FROM conversations), " + _levels("c") + " SELECT array_to_string(pattern, ' > ') AS pattern, support FROM sup",
         "top_pairs": f"WITH {_SEQ}, {_levels(n=2)}, p AS (SELECT s.pattern[1] AS cause, s.pattern[2] AS effect, s.support, s.support / c.tail_support::DOUBLE AS confidence, (s.support / total::DOUBLE) / ((c.tail_support / total::DOUBLE) * (e.tail_support / total::DOUBLE)) AS lift FROM sup s JOIN tails c ON c.event_key = s.pattern[1] JOIN tails e ON e.event_key = s.pattern[2], total WHERE len(s.pattern) = 2) SELECT cause, effect, round((confidence * 0.5::DOUBLE + least(lift, 5) / 5 * 0.3::DOUBLE + least(support, 100) / 100.0::DOUBLE * 0.2::DOUBLE) * 100, 1) AS score, support, round(confidence, 4) AS confidence, round(lift, 4) AS lift FROM p ORDER BY score DESC, support DESC, confidence DESC, cause, effect LIMIT 20",
         "ngram_counts": f"WITH {_SEQ}, {_NGRAMS} SELECT array_to_string(pattern, ' > ') AS pattern, n FROM grams",
         "heavy_hitters": f"WITH {_SEQ}, {_NGRAMS} SELECT array_to_string(pattern, ' > ') AS pattern, n FROM grams ORDER BY n DESC, grams.pattern LIMIT 50",
@@ -273,6 +323,10 @@ def oracle_sql() -> dict[str, str]:
         "cusum_noreset": f"WITH {_BASE}, r AS (SELECT *, score - baseline_mean - greatest(5, 1.5::DOUBLE * baseline_std) AS p, baseline_mean - score - greatest(5, 1.5::DOUBLE * baseline_std) AS m FROM base WHERE n >= 10), c AS (SELECT cause, effect, ts, sum(p) OVER w AS cp, sum(m) OVER w AS cm FROM r WINDOW w AS (PARTITION BY cause, effect ORDER BY ts)) SELECT cause, effect, ts, round(cp - least(0, min(cp) OVER w), 3) AS cusum_pos, round(cm - least(0, min(cm) OVER w), 3) AS cusum_neg FROM c WINDOW w AS (PARTITION BY cause, effect ORDER BY ts)",
         "active_traces": f"WITH {_LOG}, now AS (SELECT max(us) AS t FROM log), p AS (SELECT trace_id, arg_min(us, arrival) AS first_us, arg_max(us, arrival) AS last_us, count(*) AS n_events FROM log GROUP BY ALL) SELECT trace_id, first_us, last_us, n_events, last_us < t - 30000000 AS completed FROM p, now WHERE first_us >= t - {_W}",
     }
+    for name, rule, tail in (("alerts", EVENTS_RULE, ""), ("lasting_alerts", LASTING_RULE, ""), ("recent_alerts", EVENTS_RULE, ' ORDER BY "timestamp" DESC, alert_id DESC LIMIT 10')):
+        out[name] = f"WITH RECURSIVE {_alerts(rule)} SELECT * FROM found{tail}"
+    score = "confidence_score"
+    out["score_levels"] = f"SELECT cause, effect, CASE WHEN {score} >= 80 THEN 'high' WHEN {score} >= 50 THEN 'medium' ELSE 'low' END AS level, rpad(repeat('#', CAST(trunc({score} * 40 / 100) AS INTEGER)), 40, '-') AS bar FROM ({out['infer_ext']})"
     out["top_events"] = out["event_stats"] + " ORDER BY n_events DESC, event_key LIMIT 10"
     for m in ("mem", "ext", "rt"):
         out[f"interval_{m}"] = f"WITH {_SEQ}, {_GAPS[m]}, {_STATS} SELECT cause, effect, n_traces, n_gaps, round(avg_ms, 1) AS avg_ms, round(std_ms, 1) AS std_ms, round({_ISCORE}, 4) AS interval_score FROM stats"

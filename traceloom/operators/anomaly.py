@@ -69,7 +69,7 @@ class Monitor:
         alert = {
             "alert_id": f"alert_{int(ts)}_{self.cause}_{self.effect}", "timestamp": ts, "cause": self.cause, "effect": self.effect,
             "old_score": round(self.mean, 1), "new_score": round(score, 1), "change_magnitude": round(abs(delta), 1), "alert_type": kind,
-            "details": {"baseline_mean": round(self.mean, 2), "baseline_std": round(self.std, 2), "cusum_pos": round(self.up, 2), "cusum_neg": round(self.down, 2), "consec_breaches": self.count, "current_co_occurrence": co},
+            "details": {"baseline_mean": round(self.mean, 1), "baseline_std": round(self.std, 1), "cusum_pos": round(self.up, 1), "cusum_neg": round(self.down, 1), "consec_breaches": self.count, "current_co_occurrence": co},
             "message": f"{self.cause} -> {self.effect}: score {said}",
         }
         self.last_alert, self.count, self.up, self.down = ts, 0, 0.0, 0.0
@@ -85,7 +85,7 @@ class Monitor:
     def state(self, watched: bool = True) -> dict:
         """What can be asked about a pair: counts, baseline, sums and the last ten samples."""
         last = self.recent[-10:]
-        return {"cause": self.cause, "effect": self.effect, "watched": watched, "samples_collected": len(self.recent), "baseline_mean": round(self.mean, 2), "baseline_std": round(self.std, 2), "cusum_pos": round(self.up, 2), "cusum_neg": round(self.down, 2), "consec_breaches": self.count, "recent_scores": [s for _, s in last], "recent_timestamps": [t for t, _ in last]}
+        return {"cause": self.cause, "effect": self.effect, "watched": watched, "samples_collected": len(self.recent), "baseline_mean": round(self.mean, 1), "baseline_std": round(self.std, 1), "cusum_pos": round(self.up, 1), "cusum_neg": round(self.down, 1), "consec_breaches": self.count, "recent_scores": [s for _, s in last], "recent_timestamps": [t for t, _ in last]}
 
 
 def detect(samples: DataFrame, rule: Rule = Rule()) -> DataFrame:  # noqa: B008

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from traceloom.functions import scoring as S
 from traceloom.operators.pairs import firsts
 
+#: Largest table, in bytes of its rows, that mining broadcasts.
+BROADCAST_BYTES = 64 << 20
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """checkpoint() in spark.checkpoint.dir; a local folder is set only where that is unset."""
@@ -36,12 +39,14 @@ def tail_supports(seq: DataFrame, min_support: int = 2, max_len: int = 10, cause
     for n in range(1, max_len + 1):
         current = checkpointed(current)
         support = checkpointed(current.groupBy("pattern").agg(F.count("*").alias("support")).where(F.col("support") >= min_support))
-        if support.isEmpty():
+        size = support.agg(F.coalesce(F.sum(F.length(F.array_join("pattern", " ")) + 32), F.lit(0))).first()[0]
+        if not size:
             break
         levels.append(support)
         if n == max_len:
             break
-        grown = current.join(support.select("pattern"), "pattern", "left_semi").join(rows.drop("len"), "trace_id").where("pos > end")
+        own = support.select("pattern")  # a few patterns hold most rows: without a shuffle on them where they are measured small
+        grown = current.join(F.broadcast(own) if size <= BROADCAST_BYTES else own, "pattern", "left_semi").join(rows.drop("len"), "trace_id").where("pos > end")
         current = grown.groupBy("trace_id", "len", F.concat("pattern", F.array("event_key")).alias("pattern")).agg(F.min("pos").alias("end")).where("end < len")
     if not levels:
         return seq.sparkSession.createDataFrame([], "pattern array<string>, support long")

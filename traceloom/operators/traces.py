@@ -10,6 +10,9 @@ from traceloom.functions.scoring import d
 #: Order within a trace: by time then arrival, by time then span then arrival, or as events arrived.
 ORDERS = {"mem": ("us", "arrival"), "ext": ("us", "span_id", "arrival"), "rt": ("arrival",)}
 
+#: Whole microseconds and counts, and sums of their products.
+WHOLE, WIDE = "decimal(19,0)", "decimal(38,0)"
+
 
 def sequence(log: DataFrame, order: str = "mem") -> DataFrame:
     """(trace_id, event_key, us, pos from 1, len): one exchange on trace_id, whose sort serves all that follows."""
@@ -43,21 +46,40 @@ def edge_stats(seq: DataFrame) -> DataFrame:
     """(cause, effect, n_traces, n_pairs, avg_ms, std_ms) over all ordered pairs of events of a trace.
 
     Pairs are not listed: for every event and every key of its trace, running counts and sums of the key's earlier times
-    give the gaps' sums, so a trace costs its events times its keys.
+    give the gaps' sums, so a trace costs its events times its keys. Sums are of whole microseconds in decimals, and the
+    deviation is taken about the mean's whole part, so both are exact before the last division.
     """
     keys = seq.groupBy("trace_id", "event_key").agg(F.min("us").alias("zero")).select("trace_id", F.col("event_key").alias("cause"))
     origin = seq.groupBy("trace_id").agg(F.min("us").alias("zero"))
-    rows = seq.join(origin, "trace_id").join(keys, "trace_id").withColumn("t", d(F.col("us") - F.col("zero")) / 1000)
+    rows = seq.join(origin, "trace_id").join(keys, "trace_id").withColumn("t", (F.col("us") - F.col("zero")).cast(WHOLE))
     before = Window.partitionBy("trace_id", "cause").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     hit = F.col("event_key") == F.col("cause")
-    rows = rows.select("trace_id", "cause", "event_key", "t", F.sum(F.when(hit, 1).otherwise(0)).over(before).alias("c"), F.sum(F.when(hit, F.col("t")).otherwise(0.0)).over(before).alias("s"), F.sum(F.when(hit, F.col("t") * F.col("t")).otherwise(0.0)).over(before).alias("q"))
+    none = F.lit(0).cast(WHOLE)
+    square = (F.col("t") * F.col("t")).cast(WIDE)
+    rows = rows.select(
+        "trace_id", "cause", "event_key", "t",
+        F.sum(F.when(hit, 1).otherwise(0)).over(before).cast(WHOLE).alias("c"),
+        F.sum(F.when(hit, F.col("t")).otherwise(none)).over(before).cast(WIDE).alias("s"),
+        F.sum(F.when(hit, square).otherwise(none)).over(before).cast(WIDE).alias("q"),
+    )
     rows = rows.where("c > 0")
     t, c, s, q = (F.col(x) for x in "tcsq")
-    per = rows.groupBy("trace_id", "cause", F.col("event_key").alias("effect")).agg(F.sum("c").alias("n"), F.sum(c * t - s).alias("g1"), F.sum(c * t * t - 2 * t * s + q).alias("g2"))
-    out = per.groupBy("cause", "effect").agg(F.count("*").alias("n_traces"), F.sum("n").alias("n_pairs"), F.sum("g1").alias("g1"), F.sum("g2").alias("g2"))
-    mean = F.col("g1") / F.col("n_pairs")
-    var = F.greatest(F.col("g2") / F.col("n_pairs") - mean * mean, F.lit(0.0))
-    return out.select("cause", "effect", "n_traces", "n_pairs", F.round(mean, 2).alias("avg_ms"), F.round(F.sqrt(var), 2).alias("std_ms"))
+    wide = lambda x: x.cast(WIDE)
+    first = wide(wide(c * t) - s)
+    second = wide(wide(wide(wide(c * t) * t) - wide(wide(t * s) * 2)) + q)
+    per = rows.groupBy("trace_id", "cause", F.col("event_key").alias("effect"))
+    per = per.agg(F.sum("c").alias("n"), F.sum(first).alias("g1"), F.sum(second).alias("g2"))
+    out = per.groupBy("cause", "effect").agg(F.count("*").alias("n_traces"), F.sum("n").cast("long").alias("n_pairs"), F.sum("g1").alias("g1"), F.sum("g2").alias("g2"))
+    out = out.withColumn("n", F.col("n_pairs").cast(WHOLE)).withColumn("m", F.expr("g1 div n_pairs").cast(WHOLE))
+    rest = F.col("g1") - wide(F.col("m") * F.col("n"))
+    about = F.col("g2") - wide(wide(F.col("m") * F.col("g1")) * 2) + wide(wide(F.col("m") * F.col("m")) * F.col("n"))
+    off = d(rest) / d(F.col("n"))
+    variance = F.greatest(d(about) / d(F.col("n")) - off * off, F.lit(0.0))
+    return out.select(
+        "cause", "effect", "n_traces", "n_pairs",
+        F.round((d(F.col("m")) + off) / 1000, 2).alias("avg_ms"),
+        F.round(F.sqrt(variance) / 1000, 2).alias("std_ms"),
+    )
 
 
 def log_stats(seq: DataFrame, lines: DataFrame) -> DataFrame:
