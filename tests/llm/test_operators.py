@@ -117,8 +117,8 @@ def test_links_in_dense_clusters_and_hot_cells(spark):
     fps = np.array(sorted(fps), np.uint64)
     want = brute_components(list(range(len(fps))), fps.tolist())
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    for rows in (4096, 8):
-        roots = dict(map(tuple, components.stars(simhash.links(df, 4, rows)).collect()))
+    for rows, width in ((4096, 4), (8, 4), (4096, 2)):
+        roots = dict(map(tuple, components.stars(simhash.links(df, 4, rows, width)).collect()))
         got = [roots.get(int(x), int(x)) for x in fps.view(np.int64)]
         a, b = defaultdict(set), defaultdict(set)
         for i, (g, w) in enumerate(zip(got, want)):

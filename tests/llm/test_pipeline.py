@@ -5,6 +5,8 @@ from collections import Counter
 
 import corpus_pipeline
 from traceloom.llm import mixing, pieces
+from traceloom.llm.common import save
+from traceloom.llm.pipeline import language_id
 from tests.llm.test_operators import brute_components, brute_simhash, words
 
 
@@ -41,12 +43,12 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
             out = stage(spark, docs, "")
             if i < 4:
                 assert out.columns == docs.columns
-                docs = corpus_pipeline.save(out, "test")
+                docs = save(out, "test")
         assert out.count() >= 0
 
 
 def test_texts_stay_where_no_language_was_learned(spark):
     rows = [(1, "some text", None), (2, "12 34", None), (3, None, None), (4, "more über", None), (5, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = corpus_pipeline.language_id(spark, docs, "").collect()
+    got = language_id(spark, docs, "").collect()
     assert sorted((r.doc_id, r.text, r.lang) for r in got) == [(1, "some text", None), (4, "more über", None)]

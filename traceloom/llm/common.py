@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+import warnings
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain, islice
@@ -10,7 +12,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file:///tmp/checkpoints/traceloom"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        warnings.warn(f"spark.checkpoint.dir is unset: tables between steps go to {base}", stacklevel=2)
         spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return base.rstrip("/")
 
@@ -49,13 +54,79 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> tuple[
     return (F.broadcast(df) if rows * row_bytes <= limit else df), rows
 
 
+def joinable(df: DataFrame, tag: str, rows: int, row_bytes: int = 32) -> DataFrame:
+    """An aggregate to be joined: broadcast if it has at most `rows` rows and they are within the bound; otherwise written,
+    since only a join whose sides are plain shuffles may be split where a key is hot."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else save(df, tag)
+
+
+def release() -> None:
+    """Give what a finished task has freed back to the system: a Python worker waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    return df.mapInArrow(f, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark's parser takes it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def whole_row(df: DataFrame):
-    """A struct of all columns, for operators that hand their input's rows on unchanged."""
-    return F.struct(*[df[c] for c in df.columns]).alias("row")
+    """A struct `row` of all columns, for operators that hand their input's rows on unchanged."""
+    return F.struct(*[F.col(quoted(c)).alias(c) for c in df.columns]).alias("row")
+
+
+def unpacked(names: list[str], **other):
+    """The columns of struct `row` again, those in `other` replaced."""
+    return [(other[c] if c in other else F.col("row").getField(c)).alias(c) for c in names]
+
+
+def row_field(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A field of the struct column `row`, null where the row is."""
+    row = column(batch, "row")
+    return row.field(row.type.get_field_index(name))
+
+
+def times_taken(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, those of one id and text `c` times together. counts: id, text_key (xxhash64 of the text), n (rows
+    of that id and text) and c, a row an id and text; rows without an entry, or with c = 0, are left out.
+
+    Texts are not shuffled where counts is measured small; beyond that they meet it in hash joins, which sort no text and
+    whose built side, counts, is a small part of each partition's texts. Where n > 1, rows that are equal in all columns
+    are counted together, and c is dealt to the different ones in proportion: floor(c * k / n) copies go to the first k
+    rows by hash. Those places are found in cells of a hash, so no group of copies meets in one task.
+    """
+    names = docs.columns
+    counts = counts.where("c > 0").select(F.coalesce("id", F.lit(0)).alias("i"), F.col("id").isNull().alias("o"), F.col("text_key").alias("t"), "n", "c")
+    counts = save(counts, "counts")
+    rows, many = counts.agg(F.count("*"), F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0))).first()
+    held = F.broadcast(counts) if rows * 64 <= BROADCAST_BYTES else counts.hint("shuffle_hash")
+    own = F.col(quoted(id_col)).cast("long")
+    keyed = docs.select(whole_row(docs), F.coalesce(own, F.lit(0)).alias("i"), own.isNull().alias("o"), F.xxhash64(F.col(quoted(text_col))).alias("t"))
+    joined = keyed.join(held, ["i", "o", "t"])
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("c").cast("int"))).alias("copy")
+    out = joined.where("n = 1").select("row", copies).select(*unpacked(names))
+    if not many:
+        return out
+    key, cells = ["i", "o", "t"], ["i", "o", "t", "cell"]
+    equal = joined.where("n > 1").groupBy(*key, "n", "c", "row").agg(F.count("*").alias("m")).withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(1024)))
+    equal = save(equal, "equal")
+    sums = equal.groupBy(*cells).agg(F.sum("m").alias("cell_m"))
+    before = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*cells, F.coalesce(F.sum("cell_m").over(before), F.lit(0)).alias("at"))
+    within = Window.partitionBy(*cells).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    placed = equal.withColumn("k", F.sum("m").over(within)).join(sums, cells).withColumn("k", F.col("k") + F.col("at"))
+    dealt = placed.withColumn("c", F.expr("c * k div n - c * (k - m) div n"))
+    return out.union(dealt.select("row", copies).select(*unpacked(names)))
 
 
 def with_row(schema: str, df: DataFrame) -> T.StructType:
@@ -67,10 +138,10 @@ def column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
-def binary_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
+def binary_texts(batch: pa.RecordBatch | pa.Array, name: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column; null gives empty bytes."""
-    col = column(batch, name).cast(pa.large_binary())
-    return [x or b"" for x in col.to_pylist()]
+    col = batch if isinstance(batch, pa.Array) else column(batch, name)
+    return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
 def spans(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import WordTable, binary_texts, column, map_arrow, save, spans
+from traceloom.llm.common import WordTable, binary_texts, column, map_arrow, quoted, save, spans
 
 WORDS, HASHED, FREQUENT = 192, 128, 50_000
 WIDTH, CONTEXT, NOISE, BATCH, RATE, SEED = 24, 3, 64, 1024, 0.15, 3
@@ -291,8 +291,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id"
     model's, over the same tokens. Whole texts are scored, of any length; equal rows give a row each; other columns
     play no part. With nothing to learn from, counts are zero and classes equally likely.
     """
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(True))
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held.alias("held"), (~held).alias("train"))
+    held = F.coalesce(F.crc32(F.col(quoted(id_col)).cast("string").cast("binary")) % folds == fold, F.lit(True))
+    src = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"), held.alias("held"), (~held).alias("train"))
     counts = save(count_tokens(src.select("text", "train")), "tokens")
     train_tokens, kinds = counts.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum((F.col("n_train") > 0).cast("long")), F.lit(0))).first()
     top = counts.orderBy(F.desc("n_all"), "token").limit(FREQUENT).collect()  # FREQUENT rows
@@ -343,7 +343,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id"
     keyed = src.select("doc_id", "held", F.xxhash64("doc_id", "text").alias("key"), "text")
     rows = map_arrow(keyed.select("key", "text"), run, "token string, key long, n int, info binary")
     seen = counts.where("n_train > 0").select("token", F.col("n_train").alias("c"))
-    joined = rows.join(seen.hint("shuffle_hash"), "token", "left")  # a partition's distinct tokens, no text
+    joined = rows.join(seen.hint("merge"), "token", "left")  # sorted and spilled: the vocabulary may be of any size
     value = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)
     found = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
     per = joined.groupBy("key").agg(F.sum(value).alias("log"), F.sum(found).alias("found"), F.max("info").alias("info"), F.count("info").alias("m"))

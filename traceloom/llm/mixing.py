@@ -1,11 +1,11 @@
 """Mixing sources to target weights by systematic sampling.
 
 A document of a source with target t and size s is expected t/s times. Within a source the documents stand in order of
-(size, id mod SALT, id); expected copies are summed along that order, one offset in [0, 1) is added, and a document is
+(size, salt, id, text), the salt being a digest of the id mod SALT; expected copies are summed along that order, one offset in [0, 1) is added, and a document is
 emitted once for every integer that the sum crosses on it. Ordering by size keeps a source's words near its target.
 
-Places in the order are made of three offsets: of the (source, size) among a source's sizes, of the id's remainder among
-the equals in size, and a row number within that cell. A source's or a size's rows are never gathered in one task: the
+Places in the order are made of three offsets: of the (source, size) among a source's sizes, of the salt among the equals
+in size, and a row number within that cell. A source's or a size's rows are never gathered in one task: the
 first two are windows over counts, the third over 1/SALT of the rows of one source and size.
 """
 
@@ -16,7 +16,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import save
+from traceloom.llm.common import quoted, save, times_taken
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -24,7 +24,7 @@ CAP = 3
 SALT = 1024
 SEED = 7
 #: Sources are a dimension: their totals go to the driver, and more than this is an error, not a cut.
-MAX_SOURCES = 1_000_000
+MAX_SOURCES = 200_000
 
 
 def offset(source: str | None, seed: int = SEED) -> float:
@@ -57,9 +57,11 @@ def mix_copies(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = S
     source without words has target 0. An empty table gives an empty one; other columns play no part.
     """
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.col(text_col)).alias("text_key"), size.alias("size"))
-    rows = save(rows.withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALT))), "sizes")
+    text = F.col(quoted(text_col))
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(source_col)).cast("string").alias("source"), F.xxhash64(text).alias("text_key"), size.alias("size"))
+    digest = F.md5(F.coalesce("doc_id", "text_key").cast("string").cast("binary"))  # rows without an id are dealt by their text
+    rows = save(rows.withColumn("salt", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % SALT), "sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources")
@@ -73,7 +75,7 @@ def mix_copies(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = S
     cells = cells.select("source", "size", "salt", before(Window.partitionBy("source", "size").orderBy("salt")).alias("at_salt"))
     same = lambda a, b, *cols: [a["source"].eqNullSafe(b["source"]), *(a[c] == b[c] for c in cols)]
     starts = cells.join(sizes, same(cells, sizes, "size")).select(cells["source"], cells["size"], "salt", (F.col("at_size") + F.col("at_salt")).alias("start"))
-    placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id")) - 1)
+    placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("source", "size", "salt").orderBy("doc_id", "text_key")) - 1)
     placed = placed.join(starts, same(placed, starts, "size", "salt")).select(placed["source"], "doc_id", "text_key", placed["size"], (F.col("start") + F.col("n")).alias("r"))
     table = F.broadcast(table) if len(totals) <= 100_000 else table
     out = placed.join(table, placed["source"].eqNullSafe(table["source"])).drop(table["source"])
@@ -83,15 +85,13 @@ def mix_copies(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = S
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as many times as it is taken, with the input's columns.
+    """The documents of the mix, each as many times as it is taken, with the input's columns, whatever their names.
 
-    Rows equal in id and text are told apart by nothing; they share their copies evenly, rounded up.
+    Rows equal in id and text share their copies exactly: as many as mix_copies gives them together. An empty table gives
+    an empty one.
     """
-    copies = mix_copies(docs, **options).groupBy("doc_id", "text_key").agg(F.sum("copies").alias("c"), F.count("*").alias("n"))
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.ceil(F.col("c") / F.col("n")).cast("int").alias("_copies")).where("_copies > 0")
-    docs_id, key = docs[options.get("id_col", "doc_id")], F.xxhash64(docs[options.get("text_col", "text")])
-    joined = docs.join(copies, docs_id.cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mix_copies(docs, **options).groupBy(F.col("doc_id").alias("id"), "text_key").agg(F.sum("copies").alias("c"), F.count("*").alias("n"))
+    return times_taken(docs, copies, options.get("id_col", "doc_id"), options.get("text_col", "text"))
 
 
 #: DuckDB form of mix_copies over the view documents.
@@ -110,7 +110,7 @@ goal AS (
   SELECT source, s, least((SELECT rate FROM ranked WHERE rate <= bound ORDER BY k LIMIT 1) * w, {CAP} * s) AS target,
     CAST('0x' || substr(md5('{SEED}:' || coalesce(source, '')), 1, 8) AS UBIGINT) / 4294967296.0::DOUBLE AS u FROM ranked),
 placed AS (
-  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, (doc_id % {SALT} + {SALT}) % {SALT}, doc_id) - 1 AS r FROM rows),
+  SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS UBIGINT) % {SALT}, doc_id) - 1 AS r FROM rows),
 counted AS (
   SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target, CASE WHEN s > 0 THEN target / s ELSE 0 END AS e, r, u
   FROM placed JOIN goal ON placed.source IS NOT DISTINCT FROM goal.source)

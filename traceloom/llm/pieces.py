@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import column, map_arrow, mix, spans
+from traceloom.llm.common import column, map_arrow, mix, quoted, spans
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED = 0.1, 11
@@ -33,7 +33,7 @@ RATE, SEED = 0.1, 11
 REMEMBERED, REMEMBERED_CHARS = 900_000, 16_000_000
 SEGMENT = re.compile(r" *[^ \n]+|\n| +")
 _MASK = (1 << 64) - 1
-_STEPS = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+_STEP = 0xD1B54A32D192ED03
 
 
 class Model:
@@ -42,7 +42,7 @@ class Model:
     def __init__(self, pieces: list[tuple[str, int]], byte_ids: list[int], decoded: list[bytes]):
         self.rank = {p: r for r, (p, _) in enumerate(pieces)}
         self.number = [i for _, i in pieces]
-        self.hashes = (mix(np.arange(1, len(pieces) + 1, dtype=np.uint64)) >> np.uint64(40)).tolist()
+        self.hashes = mix(np.arange(1, len(pieces) + 1, dtype=np.uint64)).tolist()
         self.byte_ids = byte_ids
         self.decoded = decoded
         self.whole = not any(" " in p.lstrip(" ") or ("\n" in p and len(p) > 1) for p in self.rank)
@@ -95,9 +95,9 @@ class Model:
             return [unit[2:]]
         return ["\n", unit[1:]] if len(unit) > 1 else ["\n"]
 
-    def encode_segment(self, seg: str, places: list[int] | None = None, limit: int = 0, path: list[tuple[int, int]] | None = None) -> list[int]:
-        """Piece numbers. A candidate is skipped if the hash of its piece, crossed with its place's number, is below limit.
-        Merges, as rank and place, are added to `path`."""
+    def encode_segment(self, seg: str, key: int = 0, limit: int = 0, path: list[tuple[int, int]] | None = None) -> list[int]:
+        """Piece numbers. A candidate is skipped if the hash of key, place and piece is below limit. Merges, as rank and
+        place, are added to `path`."""
         rank, n = self.rank.get, len(seg)
         agenda = [(r, a, a + 1, a + 2) for a in range(n - 1) if (r := rank(seg[a : a + 2])) is not None]
         heapify(agenda)
@@ -106,7 +106,7 @@ class Model:
             r, a, m, b = heappop(agenda)
             if end[a] != m or end[m] != b:
                 continue
-            if limit and self.hashes[r] ^ places[a & 255] < limit:
+            if limit and draw(key, a, self.hashes[r]) < limit:
                 continue
             if path is not None:
                 path.append((r, a))
@@ -134,16 +134,24 @@ class Model:
         pieces without dropout."""
         if not text:
             return []
-        places, limit = place_numbers(key), int(rate * (1 << 24))
-        return [i for s in self.segments(" " + text) for i in self.encode_segment(s, places, limit)]
+        limit = int(rate * (1 << 24))
+        return [i for s in self.segments(" " + text) for i in self.encode_segment(s, key, limit)]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.decoded.__getitem__, ids))[1:].decode()
 
 
-def place_numbers(key: int) -> list[int]:
-    """24-bit numbers that stand for a key and a place in a segment; places repeat after 256."""
-    return (mix(_STEPS + np.uint64(key & _MASK)) >> np.uint64(40)).tolist()
+def draw(key: int, place: int, piece: int) -> int:
+    """24 bits of a keyed hash of a place in a segment and the hash of a piece."""
+    x = (place + 1) * _STEP + key & _MASK ^ piece
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    return (x ^ x >> 31) >> 40
+
+
+def draws(key: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """draw() of many at once."""
+    return mix((place.astype(np.uint64) + np.uint64(1)) * np.uint64(_STEP) + key ^ piece) >> np.uint64(40)
 
 
 class Batch:
@@ -174,7 +182,7 @@ class Batch:
             self.keys[at], self.ranks[at] = key, r
 
     def skips(self, rank: np.ndarray, start: np.ndarray, key: np.ndarray) -> np.ndarray:
-        return self.hashes[rank] ^ mix(_STEPS[start & 255] + key) >> np.uint64(40) < self.limit
+        return draws(key, start, self.hashes[rank]) < self.limit
 
     def merged(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, key: np.ndarray | None) -> np.ndarray:
         """Ranks of pairs' pieces; NONE where there is none or it is skipped. Without keys nothing is skipped."""
@@ -261,14 +269,14 @@ class Remembered:
         self.plain: list[bytes] = []
         #: Of each unit: characters of the segment that a batch may encode, 0 if none; where its merges begin; how many.
         self.lengths, self.first, self.merges = (np.zeros(0, np.int64) for _ in range(3))
-        self.ranks, self.places = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.ranks, self.places = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def keys(self, draws: np.ndarray) -> np.ndarray:
-        return mix(draws * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed & _MASK))
+    def keys(self, numbers: np.ndarray) -> np.ndarray:
+        return mix(numbers * np.uint64(0x9E3779B97F4A7C15) + np.uint64(self.seed & _MASK))
 
-    def one(self, unit: str, draw: int) -> bytes:
-        places = place_numbers(int(self.keys(np.array([draw], np.uint64))[0]))
-        ids = [i for s in self.model.named(unit) for i in self.model.encode_segment(s, places, self.limit)]
+    def one(self, unit: str, number: int) -> bytes:
+        key = int(self.keys(np.array([number], np.uint64))[0])
+        ids = [i for s in self.model.named(unit) for i in self.model.encode_segment(s, key, self.limit)]
         return pack(f"<{len(ids)}i", *ids)
 
     def parts(self, lengths: np.ndarray) -> Iterator[np.ndarray]:
@@ -313,7 +321,7 @@ class Remembered:
         self.lengths = np.concatenate([self.lengths, lengths])
         if rows:
             self.ranks = np.concatenate([self.ranks, np.concatenate(ranks)[order].astype(np.int32)])
-            self.places = np.concatenate([self.places, (np.concatenate(places)[order] & 255).astype(np.uint8)])
+            self.places = np.concatenate([self.places, np.concatenate(places)[order].astype(np.int32)])
         self.units += units
         self.plain += plain
         self.chars += sum(map(len, units))
@@ -329,14 +337,14 @@ class Remembered:
             out.append(lo + np.unique(np.repeat(np.arange(len(own)), n)[skip]))
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    def encode(self, units: list[list[str]], draws: list) -> list[bytes]:
+    def encode(self, units: list[list[str]], numbers: list) -> list[bytes]:
         """Packed numbers of texts given as units and a number for every one's key."""
         if len(self.units) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self.forget()
         n = sum(map(len, units))
         ids = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(units)), np.int64, n)
         self.learn(list(islice(self.numbers, len(self.units), None)))
-        drawn = np.concatenate([np.asarray(d, np.uint64) for d in draws] or [np.zeros(0, np.uint64)])
+        drawn = np.concatenate([np.asarray(d, np.uint64) for d in numbers] or [np.zeros(0, np.uint64)])
         coded = list(map(self.plain.__getitem__, ids.tolist()))
         if self.limit:
             keys = self.keys(drawn)
@@ -344,8 +352,8 @@ class Remembered:
             lengths = self.lengths[ids[at]]
             for part in self.parts(lengths):
                 own = at[part]
-                numbers, counts, _ = self.batch.encode([" " + self.units[i] for i in ids[own].tolist()], keys[own])
-                packed, ends = numbers.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
+                coded_ids, counts, _ = self.batch.encode([" " + self.units[i] for i in ids[own].tolist()], keys[own])
+                packed, ends = coded_ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
                 lo = 0
                 for i, end in zip(own.tolist(), ends):
                     coded[i] = packed[lo:end]
@@ -371,7 +379,7 @@ def encode_pieces(docs: DataFrame, rate: float = RATE, seed: int = SEED, model:
     equal rows are encoded alike; a null id counts as -1. Other columns play no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Model.load(model))  # one vocabulary, under 2 MB
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
     limit = int(rate * (1 << 24))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,8 +396,8 @@ def encode_pieces(docs: DataFrame, rate: float = RATE, seed: int = SEED, model:
             for lo, hi in spans(raw):
                 units = [m.units(t) if t else [] for t in texts[lo:hi]]
                 salts = [(x * 0xD1B54A32D192ED03 + seed) & _MASK for x in numbers[lo:hi]]
-                draws = [mix(np.arange(len(u), dtype=np.uint64) + np.uint64(x)) for u, x in zip(units, salts)]
-                coded = kept.encode(units, draws)
+                keys = [mix(np.arange(len(u), dtype=np.uint64) + np.uint64(x)) for u, x in zip(units, salts)]
+                coded = kept.encode(units, keys)
                 sha = [hashlib.sha256(c).hexdigest() for c in coded]
                 back, same = [], []
                 for c, t in zip(coded, raw[lo:hi]):

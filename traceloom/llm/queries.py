@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from traceloom.llm import langid, lm, mixing, pieces, simhash, substring, topk, toxicity, warc, winnow
+from traceloom.llm import langid, lm, mixing, pieces, pipeline, simhash, substring, topk, toxicity, warc, winnow
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,7 +57,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [op1_toxicity, op2_substring_dedup, op3_sentencepiece, op4_simhash, op5_topk, op6_warc, op7_winnowing, op8_mixing, op9_langid, op10_lm]
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops} | {"pipeline": pipeline.run}
 
 
 #: DuckDB form of op2: every window of 35 words by its text, then the words that no repeated window covers.

@@ -1,11 +1,16 @@
 """SimHash fingerprints of word shingles, and their links within a Hamming distance.
 
 Method: segment-popcount embedding. The 64 bits are cut into segments; a fingerprint's image is the vector of its
-segments' bit counts. One flipped bit changes one count by one, so the Manhattan distance of two images is at most the
-Hamming distance of the fingerprints. The segments are dealt into groups; at Manhattan distance `bits` at most, all
-but `bits` groups agree wholly, so every link shares the grid cell of some choice of agreeing groups. Within a cell,
-pairs pass the Manhattan bound first and the exact Hamming test then. Cells that hold more than `cell_rows`
-fingerprints are cut into chunks, and every pair of chunks meets in one task; nothing is capped.
+segments' bit counts, a point of a grid. One flipped bit changes one count by one, so the Manhattan distance of two images
+is a lower bound of the fingerprints' Hamming distance. The join is a range join on that grid. Of three groups of segments
+the two that differ least differ by 2 * bits // 3 steps at most together, so it runs on the counts of every two groups:
+each fingerprint goes to its own cell and to the cells half that radius around it, and two that are in range meet in a
+cell between them. In a cell, pairs pass the Manhattan bound over all segments first and the exact Hamming test then.
+
+Segments are of 4 bits, 16 counts. Pairs that meet by chance grow with the square of the fingerprints; beyond WIDE_ROWS of
+them segments are of 2 bits, whose 32 counts tell more apart, at twice the cells a fingerprint. Either gives all links.
+Cells that hold more than `cell_rows` fingerprints are cut into chunks, and every pair of chunks meets in one task; nothing
+is capped.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import binary_texts, column, map_arrow, mix, save, small
+from traceloom.llm.common import binary_texts, column, joinable, map_arrow, mix, quoted, save, small, times_taken
 from traceloom.llm.components import stars
 
 SEED = 42
+#: Distinct fingerprints up to which segments are of 4 bits.
+WIDE_ROWS = 1 << 24
 
 
 def shingle_hashes(words: list[bytes], size: int, seed: int = SEED) -> np.ndarray:
@@ -56,22 +63,56 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_co
             fps = np.fromiter((majority(shingle_hashes(t.lower().split(), size)) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "text_key"), pa.array(fps.view(np.int64))], ["id", "text_key", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"))
+    text = F.col(quoted(text_col))
+    src = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     return map_arrow(src, run, "id long, text_key long, fp long")
 
 
-def thermometer(fps: np.ndarray) -> np.ndarray:
-    """Images under two-bit segments, each count as 00, 01 or 11, so that Manhattan distance is the number of unlike bits."""
-    odd = np.uint64(0x5555555555555555)
-    one, two = (fps | (fps >> np.uint64(1))) & odd, (fps & (fps >> np.uint64(1))) & odd
-    return one | (two << np.uint64(1))
-
-
-def cell_masks(bits: int) -> list[int]:
-    """Bit masks of the grids: of bits + 2 groups of segments, every two."""
-    edges = np.linspace(0, 32, bits + 3).round().astype(int)
-    groups = [((1 << 2 * int(b)) - 1) ^ ((1 << 2 * int(a)) - 1) for a, b in itertools.pairwise(edges)]
-    return [a | b for a, b in itertools.combinations(groups, 2)]
+def image_table(width: int) -> np.ndarray:
+    """For every byte, its segments' bit counts as thermometers: of a segment with c bits set, the lowest c are."""
+    byte = np.arange(256)
+    out = np.zeros(256, np.int64)
+    for at in range(0, 8, width):
+        count = np.bitwise_count(byte >> at & (1 << width) - 1).astype(np.int64)
+        out |= ((1 << count) - 1) << at
+    return out.astype(np.uint8)
+
+
+def images(fps: np.ndarray, width: int) -> np.ndarray:
+    """Bit counts of the segments of `width` bits, as thermometers: the Manhattan distance of two images is the number of
+    their unlike bits."""
+    return image_table(width)[np.ascontiguousarray(fps, np.uint64).view(np.uint8)].view(np.uint64)
+
+
+def group_pairs(width: int) -> list[list[int]]:
+    """The segments, by number, of every two of three groups."""
+    edges = np.linspace(0, 64 // width, 4).round().astype(int)
+    groups = [list(range(a, b)) for a, b in itertools.pairwise(edges.tolist())]
+    return [a + b for a, b in itertools.combinations(groups, 2)]
+
+
+def neighbours(image: np.ndarray, segments: list[int], width: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, image) of the grid's cells within `radius` steps of every image, a step being one count up or down in one of
+    the segments; the own cell first, every cell once."""
+    full = np.uint64((1 << width) - 1)
+    row, cell = np.arange(len(image)), image
+    for _ in range(radius):
+        rows, cells = [row], [cell]
+        for s in segments:
+            shift = np.uint64(s * width)
+            count = cell >> shift & full
+            rest = cell ^ count << shift
+            for other in ((count << np.uint64(1) | np.uint64(1)) & full, count >> np.uint64(1)):
+                moved = other != count
+                rows.append(row[moved])
+                cells.append((rest | other << shift)[moved])
+        row, cell = np.concatenate(rows), np.concatenate(cells)
+        if radius > 1:
+            order = np.lexsort((cell, row))
+            row, cell = row[order], cell[order]
+            first = np.r_[True, (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])]
+            row, cell = row[first], cell[first]
+    return row, cell
 
 
 def _pairs_small(start: np.ndarray, size: np.ndarray, fp: np.ndarray, image: np.ndarray, bits: int):
@@ -127,9 +168,9 @@ def _forest(pairs: list[tuple[np.ndarray, np.ndarray]], fp: np.ndarray) -> tuple
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
-def cell_links(cell: np.ndarray, fp: np.ndarray, bits: int, large: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def cell_links(cell: np.ndarray, fp: np.ndarray, bits: int, width: int = 4, large: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Links (a spanning forest of them) among rows sorted by cell."""
-    image = thermometer(fp)
+    image = images(fp, width)
     start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     size = np.diff(np.r_[start, len(cell)])
     few = (size > 1) & (size <= large)
@@ -139,17 +180,22 @@ def cell_links(cell: np.ndarray, fp: np.ndarray, bits: int, large: int = 64) ->
     return _forest(pairs, fp)
 
 
-def links(fps: DataFrame, bits: int = 4, cell_rows: int = 4096) -> DataFrame:
+def links(fps: DataFrame, bits: int = 4, cell_rows: int = 4096, width: int | None = None) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp) at `bits` or fewer differing bits, enough of them that
     their components are those of all links."""
-    masks = cell_masks(bits)
+    width = width or (4 if fps.count() <= WIDE_ROWS else 2)
+    choices, radius = group_pairs(width), (2 * bits // 3 + 1) // 2
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signed = column(batch, "fp").to_numpy(zero_copy_only=False)
-            image = thermometer(signed.view(np.uint64))
-            keys = [mix((image & np.uint64(m)) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k, m in enumerate(masks)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(signed, len(masks)))], ["cell", "fp"])
+            for lo in range(0, batch.num_rows, 4096):
+                signed = column(batch, "fp").slice(lo, 4096).to_numpy(zero_copy_only=False)
+                image = images(signed.view(np.uint64), width)
+                for k, segments in enumerate(choices):
+                    own = sum(((1 << width) - 1) << s * width for s in segments)
+                    row, cell = neighbours(image & np.uint64(own), segments, width, radius)
+                    key = mix(cell + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(signed[row])], ["cell", "fp"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_cell, kept_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -162,7 +208,7 @@ def links(fps: DataFrame, bits: int = 4, cell_rows: int = 4096) -> DataFrame:
             else:
                 cell, fp = kept_cell, kept_fp
             if len(cell) > 1:
-                u, v = cell_links(cell, fp.view(np.uint64), bits)
+                u, v = cell_links(cell, fp.view(np.uint64), bits, width)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
@@ -187,19 +233,21 @@ def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, id_col: str =
     per_doc = save(fingerprints(docs, size, id_col, text_col), "fingerprints")
     distinct = save(per_doc.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = stars(links(distinct, bits)).select(F.col("node").alias("fp"), "root")
-    classes = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = classes.join(least, "root").select("fp", "component_id")
+    n = distinct.count()
+    classes = save(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
+    least = joinable(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least", n)
+    table = joinable(classes.join(least, "root").select("fp", "component_id"), "components", n)
     joined = per_doc.join(table, "fp")
     return joined.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
 
 
 def one_of_each(docs: DataFrame, size: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows and columns, of each component only the row of smallest id (of equal ids, smallest text hash).
-    A component of null ids alone cannot be told from another, so rows without an id are judged by fingerprint alone."""
+    """The input's rows and columns, whatever their names, of each component only the row of smallest id (of equal ids,
+    smallest text hash; of rows equal in both, one). A component of null ids alone cannot be told from another, so rows
+    without an id are judged by fingerprint alone. An empty table gives an empty one."""
     found = near_duplicates(docs, size, bits, id_col, text_col)
     group = F.when(F.col("component_id").isNull(), F.col("fingerprint")).otherwise(F.col("component_id").cast("string"))
-    first = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("x"))
-    first = first.select(F.col("x.doc_id").alias("_id"), F.col("x.text_key").alias("_key"))
-    joined = docs.withColumn("_text_key", F.xxhash64(docs[text_col])).join(first, docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")))
-    return joined.dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    rows = found.groupBy(group.alias("g"), "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = rows.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "text_key", "n")).alias("x"))
+    first = first.select(F.col("x.doc_id").alias("id"), F.col("x.text_key").alias("text_key"), F.col("x.n").alias("n"), F.lit(1).cast("long").alias("c"))
+    return times_taken(docs, first, id_col, text_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import BROADCAST_BYTES, WordTable, binary_texts, column, hash_words, map_arrow, prefix_sums, save, sliding_argmin, spans, whole_row, window_hashes, with_row
+from traceloom.llm.common import BROADCAST_BYTES, WordTable, binary_texts, column, hash_words, map_arrow, prefix_sums, quoted, row_field, save, sliding_argmin, spans, whole_row, window_hashes, with_row
 
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -57,9 +57,10 @@ class Words:
         return window_hashes(*((self.sums, self.inverse) if not which else self.other), starts, length)
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+def _steps(batches: Iterator[pa.RecordBatch], field: str = "") -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Steps of a batch with their words, of the column `text` or of a field of the struct `row`."""
     for batch in batches:
-        texts = binary_texts(batch)
+        texts = binary_texts(row_field(batch, field) if field else batch)
         for lo, hi in spans(texts):
             yield batch.slice(lo, hi - lo), [t.split() for t in texts[lo:hi]]
 
@@ -170,15 +171,14 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     equal rows repeat each other's windows, also under one id or a null one. Null, empty and short texts lose nothing.
     Documents are told apart by a 64-bit hash of id and text, windows by 128 bits.
     """
-    row = [whole_row(docs)] if carry else []
-    src = docs.select(*row, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    keyed = src.withColumn("key", F.xxhash64("id", "text"))
-    found = save(repeated_windows(keyed.select("key", "text"), window), "windows")
+    own, text = F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col))
+    keyed = docs.select(whole_row(docs) if carry else text.alias("text"), own.alias("id"), F.xxhash64(own, text).alias("key"))
+    found = save(repeated_windows(docs.select(F.xxhash64(own, text).alias("key"), text.alias("text")), window), "windows")
     found = _bounded(found, "sides", "alone")
 
     def run(batches):
         table = WordTable(hash_words)
-        for batch, words in _steps(batches):
+        for batch, words in _steps(batches, text_col if carry else ""):
             w = Words(words, window, table)
             gone = _removed(w, column(batch, "sides").to_pylist(), column(batch, "alone").to_pylist())
             removed, kept = np.zeros(len(words), np.int64), []

@@ -1,12 +1,16 @@
 """Exact top-k inner-product search with a pivot-distance index.
 
-Vectors are keyed by their nearest pivot and their distance to it, and sorted into annuli: blocks of BLOCK vectors of
-one pivot with neighbouring distances. A query q can find nothing better than q.p + |q| * r in an annulus around p of
+Vectors are keyed by their nearest pivot and their distance to it, and sorted into annuli: blocks of at most BLOCK vectors
+of one pivot with neighbouring distances. A query q can find nothing better than q.p + |q| * r in an annulus around p of
 outer radius r, since q.x = q.p + q.(x - p) and |x - p| <= r; and by the triangle inequality nothing better than
-(|q|^2 + max|x|^2 - d^2) / 2, d being the least distance between q and the annulus. Queries go in blocks, sorted by their
-nearest pivot. Every block of queries first meets the annuli with its best bounds, which gives each query's k-th score so
-far; then it meets just those others whose bound is not below some query's k-th score. Products are BLAS calls in
-float64, exact for the whole numbers they hold; results are exact, ties to the smaller id.
+(|q|^2 + max|x|^2 - d^2) / 2, d being the least distance between q and the annulus.
+
+Neighbouring annuli stand together on a shelf, which one task holds: every vector is shipped once a pass, and queries, in
+blocks of QUERIES by their nearest pivot, are shipped once a shelf. A first pass sends each block to the shelf with its
+best bound, which gives every query's k-th score so far; a second one sends it to those other shelves alone that have an
+annulus whose bound is not below some query's k-th score. On a shelf annuli are expanded in order of their bounds, with a
+running k best, until no bound is above any query's k-th score; only what beats the first pass is passed on. Scores are
+whole numbers and exact, ties go to the smaller id, also in the bounds.
 """
 
 from __future__ import annotations
@@ -15,16 +19,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import column, map_arrow, save
+from traceloom.llm.common import column, map_arrow, quoted, save
 
-#: Pivots, sampled vectors that they are chosen from, vectors a block, queries a block, annuli that give the first bound.
-PIVOTS, SAMPLE, BLOCK, QUERIES, FIRST = 32, 4096, 2048, 512, 4
-#: Annuli are described on the driver, 48 bytes each; beyond so many the block size grows.
-MAX_ANNULI = 1_000_000
-EXACT = float(1 << 53)
+#: Pivots, sampled vectors that they are chosen from, vectors an annulus, queries a block.
+PIVOTS, SAMPLE, BLOCK, QUERIES = 32, 4096, 2048, 512
+#: Vectors a shelf at least, and its bytes at most.
+SHELF_ROWS, SHELF_BYTES = 8192, 64 << 20
+#: Annuli are described on the driver, 48 bytes each; beyond so many the annuli grow. So many are bounded at once.
+MAX_ANNULI, SLICE = 200_000, 4096
+#: Sums of products below this are exact in float64; those below the next one in int64.
+EXACT, WHOLE = 2.0**52, 2.0**62
+LEAST = np.iinfo(np.int64).min
 
 
 def choose_pivots(sample: np.ndarray, k: int = PIVOTS, rounds: int = 5) -> np.ndarray:
@@ -52,170 +61,253 @@ def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bounds(q: np.ndarray, pivots: np.ndarray, pivot: np.ndarray, low: np.ndarray, high: np.ndarray, norm: np.ndarray) -> np.ndarray:
-    """Upper bounds of queries (rows) on annuli (columns); rounded up a little, so that no equal score is lost."""
-    size = np.sqrt((q**2).sum(axis=1))
+    """Upper bounds of queries (rows) on annuli (columns) as whole numbers: what is above them by less than rounding errors
+    can be counts as reached."""
+    square = (q**2).sum(axis=1)
+    size = np.sqrt(square)
     direct = q @ pivots[pivot].T + size[:, None] * high
-    away = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] - 2 * q @ pivots.T + (pivots**2).sum(axis=1), 0))[:, pivot]
-    gap = np.maximum(np.maximum(away - high, low - away), 0)
-    triangle = (size[:, None] ** 2 + norm**2 - gap**2) / 2
+    away = np.sqrt(np.maximum(square[:, None] - 2 * q @ pivots.T + (pivots**2).sum(axis=1), 0))[:, pivot]
+    gap = np.maximum(np.maximum(away - high, low - away) - 1e-6 * (1 + size[:, None] + norm), 0)
+    triangle = (square[:, None] + norm**2 - gap**2) / 2
     best = np.minimum(np.minimum(direct, triangle), size[:, None] * norm)
-    return best + 1e-6 * (1 + np.abs(best))
+    return np.floor(best + 1e-9 * (1 + (size[:, None] + norm) ** 2))
 
 
 def top(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score): each row's k best without its own id, ties to the smaller id."""
-    scores = np.where(ids[None, :] == own[:, None], -np.inf, scores)
-    k = min(k, scores.shape[1])
+    scores = np.where(ids[None, :] == own[:, None], LEAST, scores)
     if scores.shape[1] > k:
         edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        rows, cols = np.nonzero((scores >= edge[:, None]) & np.isfinite(scores))
+        rows, cols = np.nonzero((scores >= edge[:, None]) & (scores > LEAST))
     else:
-        rows, cols = np.nonzero(np.isfinite(scores))
-    got = scores[rows, cols]
-    order = np.lexsort((ids[cols], -got, rows))
-    rows, cols, got = rows[order], cols[order], got[order]
-    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    keep = rank < k
-    return rows[keep], ids[cols[keep]], got[keep]
-
-
-def _matrix(blob: bytes, width: int) -> np.ndarray:
-    return np.frombuffer(blob, "<f8").reshape(-1, width)
+        rows, cols = np.nonzero(scores > LEAST)
+    return best_of(rows, ids[cols], scores[rows, cols], k)
+
+
+def best_of(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row, sorted by row, falling score and id."""
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], ids[keep], scores[keep]
+
+
+class Shelf:
+    """Annuli that a task holds, and the expansion of a block of queries over them."""
+
+    def __init__(self, pivots: np.ndarray, width: int, kind: str, whole: bool):
+        self.pivots, self.width, self.kind, self.whole = pivots, width, kind, whole
+        self.about: list[tuple] = []
+        self.blobs: list[tuple[bytes, bytes]] = []
+
+    def add(self, pivot: int, low: float, high: float, norm: float, least: int, ids: bytes, vs: bytes) -> None:
+        self.about.append((pivot, low, high, norm, least))
+        self.blobs.append((ids, vs))
+
+    def expand(self, q: np.ndarray, own: np.ndarray, edge: np.ndarray, edge_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, id, score): of every query's k best on this shelf, those that come before (edge, edge_id)."""
+        pivot, low, high, norm, least = (np.array(x) for x in zip(*self.about))
+        up = bounds(q, self.pivots, pivot, low, high, norm)
+        edge, edge_id = edge.copy(), edge_id.copy()
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for i in np.lexsort((least, -up.max(axis=0))).tolist():
+            live = np.flatnonzero((up[:, i] > edge) | ((up[:, i] == edge) & (least[i] < edge_id)))
+            if not len(live):
+                continue
+            ids, x = np.frombuffer(self.blobs[i][0], "<i8"), matrix(self.blobs[i][1], self.width, self.kind)
+            if self.whole:
+                scores = q[live].astype(np.int64) @ x.astype(np.int64).T
+            else:
+                scores = (q[live] @ x.T).astype(np.int64)
+            rows, near, got = top(scores, ids, own[live], k)
+            rows = live[rows]
+            better = (got > edge[rows]) | ((got == edge[rows]) & (near < edge_id[rows]))
+            found = best_of(*(np.concatenate([a, b[better]]) for a, b in zip(found, (rows, near, got))), k)
+            last = np.flatnonzero(np.arange(len(found[0])) - np.searchsorted(found[0], found[0]) == k - 1)
+            edge[found[0][last]], edge_id[found[0][last]] = found[2][last], found[1][last]
+        return found
+
+
+def matrix(blob: bytes, width: int, kind: str) -> np.ndarray:
+    return np.frombuffer(blob, kind).reshape(-1, width).astype(np.float64)
 
 
 def quantised(vectors: DataFrame, scale: float, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v binary of float64 whole numbers, norm) of the rows that take part."""
+    """(id, v binary of float64 whole numbers, norm, most) of the rows that take part; most: the largest component's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out, norm = column(batch, "id").to_pylist(), [], []
-            keep = []
-            for i, v in zip(ids, column(batch, "v")):
-                if i is None or not v.is_valid:
+            keep, out, norm, most = [], [], [], []
+            for i, v in zip(column(batch, "id").to_pylist(), column(batch, "v")):
+                if i is None or not v.is_valid or v.values.null_count or not len(v.values):
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if v.values.null_count or not np.isfinite(x).all():
+                if not np.isfinite(x).all():
                     continue
                 x = np.floor(x * scale)
                 keep.append(i)
                 out.append(x.astype("<f8").tobytes())
-                norm.append(float(np.sqrt((x**2).sum())))
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(out, pa.binary()), pa.array(norm, pa.float64())], ["id", "v", "norm"])
+                with np.errstate(over="ignore"):
+                    norm.append(float(np.sqrt((x**2).sum())))
+                most.append(float(np.abs(x).max()))
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(out, pa.binary()), pa.array(norm, pa.float64()), pa.array(most, pa.float64())], ["id", "v", "norm", "most"])
 
-    return map_arrow(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")), run, "id long, v binary, norm double")
+    src = vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vec_col)).alias("v"))
+    return map_arrow(src, run, "id long, v binary, norm double, most double")
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each id divisible by `every`, the k best of all other ids.
 
-    Components are floor(scale * x). Vectors that are null, or hold null or non-finite components, or have a null id,
-    take no part; vectors of another length than the most frequent one are an error. Equal vectors and rows of one id
-    each take part, a query's own id never. Scores beyond 2**53 in size are rounded as float64 products are.
+    Components are floor(scale * x). Vectors that are null or empty, or hold null or non-finite components, or have a null
+    id, take no part, nor do those of another length than the most frequent one (of ties the longer). Equal vectors and
+    rows of one id each take part, a query's own id never. Scores are exact; vectors so large that a score might not fit
+    64 bits (a product of two norms of 2**62 and more) are an error. An empty table gives an empty one.
     """
     spark = vectors.sparkSession
     rows = save(quantised(vectors, scale, id_col, vec_col), "vectors")
-    lengths = rows.groupBy(F.length("v").alias("n")).count().limit(2).collect()
-    if len(lengths) > 1:
-        raise ValueError("vectors of different lengths")
+    lengths = rows.groupBy(F.length("v").alias("bytes")).agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.max("most").alias("most"))
+    common = lengths.orderBy(F.desc("n"), F.desc("bytes")).first()
     schema = "query_id long, rank int, vec_id long, score long"
-    if not lengths or not lengths[0]["n"]:
+    if common is None:
         return spark.createDataFrame([], schema)
-    width, n = lengths[0]["n"] // 8, lengths[0]["count"]
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
-    pivots = choose_pivots(np.stack([_matrix(bytes(r["v"]), width)[0] for r in sample]))
+    if common["norm"] ** 2 >= WHOLE:
+        raise ValueError("inner products may not fit 64 bits")
+    rows = rows.where(F.length("v") == common["bytes"])
+    width, n, whole = common["bytes"] // 8, common["n"], common["norm"] ** 2 >= EXACT
+    kind = "<i2" if common["most"] < 1 << 15 else "<f8"
+    sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).select("v").collect()
+    pivots = choose_pivots(np.stack([matrix(bytes(r["v"]), width, "<f8")[0] for r in sample]))
     shared = spark.sparkContext.broadcast(pivots)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at, d = nearest(_matrix(b"".join(column(batch, "v").to_pylist()), width), shared.value)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array(d)], [*batch.schema.names, "pivot", "d"])
+                x = matrix(b"".join(column(batch, "v").to_pylist()), width, "<f8")
+                at, d = nearest(x, shared.value)
+                small = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
+                yield pa.RecordBatch.from_arrays([column(batch, "id"), small, column(batch, "norm"), pa.array(at.astype(np.int32)), pa.array(d)], ["id", "v", "norm", "pivot", "d"])
 
-    keyed = map_arrow(rows, key, "id long, v binary, norm double, pivot int, d double")
+    keyed = map_arrow(rows.select("id", "v", "norm"), key, "id long, v binary, norm double, pivot int, d double")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     block = max(BLOCK, -(-n // MAX_ANNULI))
 
-    def cut(size: int, norms: bool):
+    def cut(size: int, one_pivot: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple] = []
+            made = TaskContext.get().partitionId() << 40
 
             def out():
                 v, i, p, d, m = (list(x) for x in zip(*held))
                 held.clear()
-                return pa.RecordBatch.from_arrays([pa.array([p[0]], pa.int32()), pa.array([min(d)]), pa.array([max(d)]), pa.array([max(m)]), pa.array([min(i)]), pa.array([np.array(i, "<i8").tobytes()]), pa.array([b"".join(v)])], ["pivot", "low", "high", "norm", "least", "ids", "vs"])
+                cols = [pa.array([made]), pa.array([p[0]], pa.int32()), pa.array([min(d)]), pa.array([max(d)]), pa.array([max(m)]), pa.array([min(i)]), pa.array([len(i)]), pa.array([np.array(i, "<i8").tobytes()]), pa.array([b"".join(v)])]
+                return pa.RecordBatch.from_arrays(cols, ["name", "pivot", "low", "high", "norm", "least", "n", "ids", "vs"])
 
             for batch in batches:
                 for row in zip(*(column(batch, c).to_pylist() for c in ("v", "id", "pivot", "d", "norm"))):
-                    if held and (len(held) >= size or (norms and held[-1][2] != row[2])):
+                    if held and (len(held) >= size or (one_pivot and held[-1][2] != row[2])):
                         yield out()
+                        made += 1
                     held.append(row)
             if held:
                 yield out()
 
         return run
 
-    packed = "pivot int, low double, high double, norm double, least long, ids binary, vs binary"
-    order = ("pivot", "d", "id")
+    packed = "name long, pivot int, low double, high double, norm double, least long, n long, ids binary, vs binary"
+    order = ("pivot", "d", "id", "v")
     annuli = save(map_arrow(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order), cut(block, True), packed), "annuli")
     asked = keyed.where(F.col("id") % every == 0)
     asks = save(map_arrow(asked.repartitionByRange(parts, *order).sortWithinPartitions(*order), cut(QUERIES, False), packed), "queries")
-    # A block's name: pivot, lowest distance and smallest id. No two blocks of one cut share all three but by repeated
-    # rows of one id; the hash of the ids tells those apart.
-    name = F.xxhash64("pivot", "low", "high", "least", "ids")
-    annuli, asks = annuli.withColumn("block", name), asks.withColumn("ask", name)
-    about = annuli.select("block", "pivot", "low", "high", "norm").toPandas().sort_values("block").reset_index(drop=True)  # 40 bytes an annulus
+    about = annuli.select("name", "pivot", "low", "high", "norm", "least", "n").toPandas().sort_values(["pivot", "low", "least", "name"])  # 48 bytes an annulus
+    per = max(1, min(max(SHELF_ROWS, n // (2 * parts)), SHELF_BYTES // (width * np.dtype(kind).itemsize)))
+    before = about["n"].cumsum() - about["n"]
+    about["shelf"] = (before // per).astype("int64")
+    shelves = int(about["shelf"].max()) + 1
     info = spark.sparkContext.broadcast({c: about[c].to_numpy() for c in about.columns})
+    by_name = about.sort_values("name")
+    places = spark.sparkContext.broadcast((by_name["name"].to_numpy(), by_name["shelf"].to_numpy()))
 
     def plan(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = info.value
             for batch in batches:
                 for j in range(batch.num_rows):
-                    q = _matrix(column(batch, "vs")[j].as_py(), width)
-                    up = bounds(q, shared.value, a["pivot"], a["low"], a["high"], a["norm"])
-                    seeds = np.argsort(-up.max(axis=0), kind="stable")[:FIRST]
+                    name, q = column(batch, "name")[j].as_py(), matrix(column(batch, "vs")[j].as_py(), width, kind)
+                    best, hit = np.full(shelves, -np.inf), np.zeros(shelves, bool)
+                    if not first:
+                        edge, edge_id = (np.frombuffer(column(batch, c)[j].as_py(), "<i8")[:, None] for c in ("edge", "edge_id"))
+                    for lo in range(0, len(a["shelf"]), SLICE):
+                        part = {c: a[c][lo : lo + SLICE] for c in a}
+                        up = bounds(q, shared.value, part["pivot"], part["low"], part["high"], part["norm"])
+                        np.maximum.at(best, part["shelf"], up.max(axis=0))
+                        if not first:
+                            open_ = ((up > edge) | ((up == edge) & (part["least"] < edge_id))).any(axis=0)
+                            hit[part["shelf"][open_]] = True
+                    seeds = np.flatnonzero(best == best.max())
+                    seed = seeds[name % len(seeds)]  # equal bounds are dealt out, so no shelf gets all blocks of a hot vector
                     if first:
-                        hit = seeds
+                        hit[seed] = True
                     else:
-                        so_far = np.frombuffer(column(batch, "edge")[j].as_py(), "<f8")
-                        open_ = (up >= so_far[:, None]).any(axis=0)
-                        open_[seeds] = False
-                        hit = np.flatnonzero(open_)
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), column(batch, "ask")[j].as_py())), pa.array(a["block"][hit])], ["ask", "block"])
+                        hit[seed] = False
+                    at = np.flatnonzero(hit)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name)), pa.array(at.astype(np.int32))], ["name", "shelf"])
 
         return run
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shelve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, shelf = places.value
         for batch in batches:
-            for qi, qv, xi, xv, ask in zip(*(column(batch, c).to_pylist() for c in ("qids", "qvs", "ids", "vs", "ask"))):
-                own, ids = np.frombuffer(qi, "<i8"), np.frombuffer(xi, "<i8")
-                at, best, score = top(_matrix(qv, width) @ _matrix(xv, width).T, ids, own, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ask)), pa.array(at.astype(np.int32)), pa.array(own[at]), pa.array(best), pa.array(score)], ["ask", "place", "query_id", "vec_id", "score"])
-
-    def matched(pairs: DataFrame) -> DataFrame:
-        q = asks.select("ask", F.col("ids").alias("qids"), F.col("vs").alias("qvs"))
-        x = annuli.select("block", "ids", "vs")
-        return map_arrow(pairs.join(q, "ask").join(x, "block").select("ask", "qids", "qvs", "ids", "vs"), match, "ask long, place int, query_id long, vec_id long, score double")
+            at = np.searchsorted(names, column(batch, "name").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(shelf[at].astype(np.int32)), *batch.columns], ["shelf", *batch.schema.names])
 
-    def merge(found: DataFrame) -> DataFrame:
-        """Each query's k best of what its annuli gave, k rows an annulus at most."""
-        best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
-        return found.groupBy("ask", "place", "query_id").agg(best.alias("best"))
-
-    seeds = save(matched(map_arrow(asks.select("ask", "vs"), plan(True), "ask long, block long")), "found")
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on, shelf = None, None
+        for batch in batches:
+            names = ("shelf", "name", "pivot", "low", "high", "norm", "least", "ids", "vs", "edge", "edge_id")
+            for row in zip(*(column(batch, c) for c in names)):
+                at, name, pivot, low, high, norm, least, ids, vs, edge, edge_id = (x.as_py() for x in row)
+                if at != on:
+                    on, shelf = at, Shelf(shared.value, width, kind, whole)
+                if edge is None:
+                    shelf.add(pivot, low, high, norm, least, ids, vs)
+                    continue
+                own = np.frombuffer(ids, "<i8")
+                rows, near, got = shelf.expand(matrix(vs, width, kind), own, np.frombuffer(edge, "<i8"), np.frombuffer(edge_id, "<i8"), k)
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), name)), pa.array(rows.astype(np.int32)), pa.array(own[rows]), pa.array(near), pa.array(got)], ["name", "place", "query_id", "vec_id", "score"])
+
+    shelved = map_arrow(annuli.drop("n"), shelve, "shelf int, " + packed.replace("n long, ids", "ids"))
+    none = F.lit(None).cast("binary")
+    shelved = shelved.withColumn("edge", none).withColumn("edge_id", none)
+
+    def matched(limits: DataFrame, first: bool) -> DataFrame:
+        """limits: the blocks of queries with edge and edge_id, the k-th score and id that a new one has to beat."""
+        pairs = map_arrow(limits.select("name", "vs", "edge", "edge_id"), plan(first), "name long, shelf int")
+        sent = pairs.join(limits, "name").select(*shelved.columns)
+        dealt = shelved.union(sent).repartitionById(shelves, F.col("shelf"))
+        dealt = dealt.sortWithinPartitions("shelf", F.col("edge").isNotNull(), "name")
+        return map_arrow(dealt, match, "name long, place int, query_id long, vec_id long, score long")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        best = Window.partitionBy("name", "place", "query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ask, qi, place, edge in zip(*(column(batch, c).to_pylist() for c in ("ask", "ids", "places", "kth"))):
-                out = np.full(len(qi) // 8, -np.inf)
-                out[np.array(place or [], np.int64)] = np.array(edge or [], np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([ask]), pa.array([out.astype("<f8").tobytes()], pa.binary())], ["ask", "edge"])
-
-    kth = merge(seeds).where(F.size("best") >= k).select("ask", F.struct("place", (-F.element_at("best", k)["s"]).alias("e")).alias("x"))
-    kth = kth.groupBy("ask").agg(F.collect_list("x").alias("x")).select("ask", F.col("x.place").alias("places"), F.col("x.e").alias("kth"))
-    limits = map_arrow(asks.select("ask", "ids").join(kth, "ask", "left"), edges, "ask long, edge binary")
-    rest = matched(map_arrow(asks.select("ask", "vs").join(limits, "ask"), plan(False), "ask long, block long"))
-    best = merge(seeds.union(rest)).select("query_id", F.posexplode("best").alias("i", "x"))
-    whole = F.when(F.abs(F.col("x.s")) < EXACT * 1024, (-F.col("x.s")).cast("long")).otherwise(F.when(F.col("x.s") < 0, F.lit(1 << 62)).otherwise(F.lit(-(1 << 62))))
-    return best.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), whole.alias("score"))
+            for name, ids, place, score, vec in zip(*(column(batch, c).to_pylist() for c in ("name", "ids", "place", "score", "vec"))):
+                out = np.full((2, len(ids) // 8), LEAST, "<i8")
+                at = np.array(place or [], np.int64)
+                out[0, at], out[1, at] = np.array(score or [], np.int64), np.array(vec or [], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([out[0].tobytes()], pa.binary()), pa.array([out[1].tobytes()], pa.binary())], ["name", "edge", "edge_id"])
+
+    limit = "name long, edge binary, edge_id binary"
+    unknown = [F.lit(None).cast(f"array<{t}>").alias(c) for c, t in (("place", "int"), ("score", "long"), ("vec", "long"))]
+    start = map_arrow(asks.select("name", "ids", *unknown), edges, limit)
+    seeds = save(matched(asks.join(start, "name"), True), "found")
+    kth = ranked(seeds).where(F.col("rank") == k).groupBy("name").agg(F.collect_list(F.struct("place", "score", "vec_id")).alias("x"))  # QUERIES at most
+    kth = kth.select("name", F.col("x.place").alias("place"), F.col("x.score").alias("score"), F.col("x.vec_id").alias("vec"))
+    limits = save(map_arrow(asks.select("name", "ids").join(kth, "name", "left"), edges, limit), "edges")
+    rest = matched(asks.join(limits, "name"), False)
+    return ranked(seeds.union(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

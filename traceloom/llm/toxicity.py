@@ -4,7 +4,8 @@ Words are lower-cased, ASCII punctuation separates them. A document's features a
 as stems of STEMS bytes, which stand for inflected and compound forms), of its neighbouring pairs and of its pairs one
 word apart, each bucket once. FTRL-proximal keeps a learning rate a coordinate
 and an L1 threshold, so most weights are exactly zero; the few others are broadcast, and scoring touches only features
-with a weight. The fit reads a bounded sample: the SAMPLE labelled documents whose ids have the smallest keyed hash.
+with a weight. The fit reads a bounded sample, the SAMPLE labelled documents whose ids have the smallest keyed hash, one after
+the other in a single task, as the method is sequential.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import WordTable, binary_texts, column, hash_words, map_arrow, mix, spans
+from traceloom.llm.common import WordTable, binary_texts, column, hash_words, map_arrow, mix, save, spans
 
 SAMPLE, BUCKET_BITS, EPOCHS, STEMS = 12_000, 20, 2, (4, 6)
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 4.0, 0.5
@@ -78,20 +79,23 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train(rows: list[tuple[int, np.ndarray]], bits: int = BUCKET_BITS, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights from (label, buckets) rows in the order given."""
+def train(rows: Iterator[tuple[int, np.ndarray]], bits: int = BUCKET_BITS) -> np.ndarray:
+    """Weights from (label, buckets) rows, taken one by one in the order given; the last is the intercept."""
     model = Ftrl(1 << bits)
-    for _ in range(epochs):
-        for label, at in rows:
-            model.learn(at, label)
+    for label, at in rows:
+        model.learn(at, label)
     return model.weights()
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, folds: int, fold: int, sample: int) -> list[tuple[int, np.ndarray]]:
-    """Labels and distinct buckets of the sampled labelled documents, in hash order."""
+def sample_features(docs: DataFrame, labels: DataFrame, folds: int, fold: int, sample: int) -> DataFrame:
+    """(h, toxic, id, t, at): hash, label and distinct buckets of at most `sample` labelled documents, those of the smallest
+    hashes. A document is an (id, text): equal rows count once, and texts of one id each. t: the text's hash."""
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != fold
-    chosen = labels.where(learn & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("id"), "toxic", F.xxhash64("doc_id", F.lit(29)).alias("h"))
-    chosen = chosen.orderBy("h", "id", "toxic").limit(sample)  # at most `sample` narrow rows
+    chosen = labels.where(learn & F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", F.lit(29)).alias("h"))
+    chosen = chosen.distinct().orderBy("h", "id", "toxic").limit(sample)  # at most `sample` narrow rows
+    keyed = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("t"))
+    found = keyed.select("id", "t").join(F.broadcast(chosen), "id").distinct().orderBy("h", "id", "toxic", "t").limit(sample)
+    found = save(found, "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable(word_hashes)
@@ -101,16 +105,31 @@ def sample_features(docs: DataFrame, labels: DataFrame, folds: int, fold: int, s
                 doc, bucket = features([words_of(t) for t in texts[lo:hi]], table)
                 key = np.unique(doc << BUCKET_BITS | bucket)
                 sizes = np.bincount(key >> BUCKET_BITS, minlength=hi - lo)
-                flat = pa.array((key & (1 << BUCKET_BITS) - 1).astype(np.int32))
-                own = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)
+                flat = (key & (1 << BUCKET_BITS) - 1).astype("<i4").tobytes()
+                ends = 4 * np.cumsum(sizes)
+                own = pa.array([flat[a:b] for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist())], pa.binary())
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([column(part, "toxic"), column(part, "h"), own], ["toxic", "h", "at"])
+                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in ("h", "toxic", "id", "t")), own], ["h", "toxic", "id", "t", "at"])
 
-    joined = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).select("text", "toxic", "h")
-    table = map_arrow(joined, run, "toxic int, h long, at array<int>").toArrow()
-    got = [(int(y), int(h), at.values.to_numpy(zero_copy_only=False)) for y, h, at in zip(table["toxic"].to_pylist(), table["h"].to_pylist(), table["at"])]
-    got.sort(key=lambda r: (r[1], r[0], len(r[2])))
-    return [(y, at.astype(np.int64)) for y, _, at in got]
+    joined = keyed.join(F.broadcast(found), ["id", "t"]).select("h", "toxic", "id", "t", "text")
+    table = map_arrow(joined, run, "h long, toxic int, id long, t long, at binary")
+    return table.groupBy("h", "toxic", "id", "t").agg(F.first("at").alias("at"))  # equal rows once
+
+
+def fitted(rows: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the nonzero weights. One task reads the written sample once an epoch, sorted by hash; it holds
+    the model, 16 bytes a bucket, and a document at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((y, np.frombuffer(at, "<i4").astype(np.int64)) for batch in batches for y, at in zip(column(batch, "toxic").to_pylist(), (x.as_py() for x in column(batch, "at"))))
+        weights = train(pairs)
+        at = np.flatnonzero(weights)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weights[at])], ["at", "w"])
+
+    every = save(rows, "features").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    one = every.repartition(1).sortWithinPartitions("epoch", "h", "id", "toxic", "t").select("toxic", "at")
+    got = map_arrow(one, run, "at long, w double").toArrow()  # 2**BUCKET_BITS rows at most, few after L1
+    return got["at"].to_numpy(), got["w"].to_numpy()
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -121,9 +140,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sam
     Without labels every score is 0.5. Columns of `documents` other than doc_id and text play no part.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    weights = train(sample_features(src, labels, folds, fold, sample))
-    at = np.flatnonzero(weights)
-    shared = docs.sparkSession.sparkContext.broadcast((at, weights[at]))  # 2**BUCKET_BITS weights at most, few after L1
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(sample_features(src, labels, folds, fold, sample)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, w = WordTable(word_hashes), np.zeros((1 << BUCKET_BITS) + 1)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import column, fresh_path, map_arrow, save, small
+from traceloom.llm.common import column, fresh_path, map_arrow, quoted, save, small
 
 ROLL, DEDUP, LEVEL, CUT_SAMPLE = 8 << 20, 1000, 6, 4096
 DATE = "2024-01-01T00:00:00Z"
@@ -104,15 +104,17 @@ def _open(folder: str):
 def marked(pages: DataFrame, dedup: int = DEDUP, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """(key, url, html, refers): refers is the response's key for revisits.
 
-    Only digests that occur more than once are joined, revisits come back by key and digest, and the digest's count and largest key are partial aggregates;
-    the join may split a digest that a third of the pages share. Pages with a null key are responses of their own.
+    Only digests that occur more than once are joined, and revisits come back by key and digest. A digest's count and
+    largest key are partial aggregates, which are written before the join: its sides are then plain shuffles, and one that
+    a third of the pages share may be split. Pages with a null key are responses of their own.
     """
-    html = F.coalesce(F.col(payload_col), F.lit(""))
-    src = pages.select(F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
+    html = F.coalesce(F.col(quoted(payload_col)), F.lit(""))
+    src = pages.select(F.col(quoted(key_col)).cast("long").alias("key"), F.col(quoted(url_col)).cast("string").alias("url"), html.alias("html"))
     src = src.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     long = (F.octet_length("html") >= dedup) & F.col("key").isNotNull()
     ids = src.where(long).select("key", "digest")
     groups = ids.groupBy("digest").agg(F.max("key").alias("refers"), F.count("*").alias("n")).where("n > 1").select("digest", "refers")
+    groups = save(groups, "digests")
     revisits = ids.join(groups, "digest").where("key < refers").select("key", "digest", "refers").distinct()
     revisits, _ = small(save(revisits, "revisits"), 80)  # beyond the bound the pages are shuffled for the join
     return src.join(revisits, ["key", "digest"], "left").drop("digest")
@@ -122,13 +124,14 @@ def write_archives(pages: DataFrame, folder: str, shards: int | None = None, rol
     """Write the archives and their manifest; returns the manifest (path, records, bytes, first_key, last_key).
 
     Rows of one key stay together, in order of url and payload; null keys come first. An empty table writes a manifest
-    without files.
+    without files. A folder that was written before gets the new manifest in place of the old one, and what a failed
+    run left of a manifest is overwritten; files that the new manifest does not list are left, and not read.
     """
     spark = pages.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = marked(pages, **columns)
     key_col = columns.get("key_col", "page_id")
-    ids = pages.select(F.col(key_col).cast("long").alias("key")).where("key is not null")
+    ids = pages.select(F.col(quoted(key_col)).cast("long").alias("key")).where("key is not null")
     sample = sorted({r["key"] for r in ids.orderBy(F.xxhash64("key"), "key").limit(CUT_SAMPLE).collect()})
     cuts = np.array(sample[:: max(1, len(sample) // shards)][1:], np.int64)
 
@@ -170,11 +173,14 @@ def write_archives(pages: DataFrame, folder: str, shards: int | None = None, rol
     dealt = rows.withColumn("shard", shard_of("key")).repartitionById(len(cuts) + 1, F.col("shard"))
     dealt = dealt.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "url", "html", "refers")
     manifest = map_arrow(dealt, write, "path string, records long, bytes long, first_key long, last_key long")
-    manifest.write.parquet(f"{folder}/manifest.tmp")
+    manifest.write.mode("overwrite").parquet(f"{folder}/manifest.tmp")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    source = hadoop(f"{folder}/manifest.tmp")
-    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, hadoop(f"{folder}/manifest")):
+    source, target = hadoop(f"{folder}/manifest.tmp"), hadoop(f"{folder}/manifest")
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(target, True)  # a rename onto a folder would move the new manifest into the old one
+    if not files.rename(source, target):
         raise OSError(f"cannot commit {folder}")
+    spark.catalog.refreshByPath(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import STEP_BYTES, column, map_arrow, mix, prefix_sums, save, sliding_argmin
+from traceloom.llm.common import STEP_BYTES, column, map_arrow, mix, prefix_sums, quoted, sliding_argmin
 
 GRAM, WINDOW = 16, 32
 BASE = 0xC2B2AE3D27D4EB4F
@@ -85,7 +85,7 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDO
                 yield pa.RecordBatch.from_arrays([column(batch, "id").slice(lo, hi - lo), pa.array([len(t) for t in texts[lo:hi]], pa.int64()), hashes, places], ["doc_id", "n_chars", "hashes", "places"])
                 lo = hi
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
     return map_arrow(src, run, "doc_id long, n_chars long, hashes array<long>, places array<int>")
 
 
@@ -96,7 +96,7 @@ def with_next(docs: DataFrame, parts: int | None = None, id_col: str = "doc_id",
     the same ids give the same buckets; equal ids share a bucket.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = src.select("id").where("id is not null")
     sample = sorted({r["id"] for r in ids.orderBy(F.xxhash64("id"), "id").limit(CUT_SAMPLE).collect()})
@@ -123,7 +123,8 @@ def fingerprint_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, p
 
     The edited text has its last floor(n/2) code points replaced by the first as many (or all) of the next document by
     descending id (then by text; null ids last; after the last the first; a single row is its own next). Null texts are
-    empty; an empty text has the empty fingerprint. Equal rows give a row each. An empty table gives an empty one.
+    empty; an empty text has the empty fingerprint. Equal rows give a row each. places and edited_places are the code points
+    at which the selected grams begin, one a hash of the fingerprint. An empty table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +147,10 @@ def fingerprint_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, p
                 pa.array([as_text(h) for h, _ in edits], pa.string()),
                 pa.array([likeness(a[0], b[0]) for a, b in zip(prints, edits)], pa.float64()),
                 pa.array([likeness(a[0], nexts[i]) for i, a in enumerate(prints)], pa.float64()),
+                *(pa.array([at.astype(np.int32) for _, at in x], pa.list_(pa.int32())) for x in (prints, edits)),
             ]
             ready.clear()
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "places", "edited_places"])
 
         for batch in batches:
             for b, tail, i, text in zip(*(column(batch, c).to_pylist() for c in ("bucket", "tail", "id", "text"))):
@@ -171,5 +173,5 @@ def fingerprint_edits(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, p
         if ready:
             yield flush()
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, places array<int>, edited_places array<int>"
     return map_arrow(with_next(docs, parts, id_col, text_col), run, schema)
