@@ -1,56 +1,5 @@
-"""A corpus pipeline of the operators in traceloom.llm: language, near-duplicates, repeated passages, mix, pieces."""
+"""The corpus pipeline of traceloom.llm.pipeline: its stages, and their run over the table documents."""
 
-from __future__ import annotations
+from traceloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from traceloom.llm import langid, mixing, pieces, simhash, substring
-from traceloom.llm.common import save
-
-#: No stage but the mix and the passages can be put in SQL; the tests compare run() with a brute-force version.
-ORACLE_SQL = None
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a letter. A missing lang is filled with the prediction, and stays null if nothing was learned."""
-    found = langid.identify(docs, carry=True)
-    found = found.where((F.col("lang_pred") != langid.UNKNOWN) | F.col("row.text").rlike(r"\p{L}"))
-    cols = [F.coalesce(F.col("row.lang"), F.expr(f"nullif(lang_pred, '{langid.UNKNOWN}')")).alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns]
-    return found.select(*cols)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest doc_id."""
-    return simhash.one_of_each(docs)
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 35-word windows that stand elsewhere too; a text that loses nothing stays as it is. n_chars is
-    the new text's; a text that loses all its words becomes empty and stays a row."""
-    cut = substring.remove_repeats(docs, carry=True)
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("kept").cast("long"))}
-    return cut.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it."""
-    return mixing.mix(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece numbers of every text, with the digests that show the round trip."""
-    return pieces.encode_pieces(docs)
-
-
-STAGES = [("language ID", language_id), ("SimHash near-dedup", near_dedup), ("substring dedup", substring_dedup), ("mixing sources", mix_sources), ("SentencePiece", encode)]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = save(docs, f"stage{i}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
