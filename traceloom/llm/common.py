@@ -48,10 +48,10 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, int]:
+def small(df: DataFrame, row_bytes: int, limit: int | None = None) -> tuple[DataFrame, int]:
     """Hint a broadcast if rows * row_bytes is within the limit; otherwise leave the join to shuffle. Counts the rows."""
     rows = df.count()
-    return (F.broadcast(df) if rows * row_bytes <= limit else df), rows
+    return (F.broadcast(df) if rows * row_bytes <= (BROADCAST_BYTES if limit is None else limit) else df), rows
 
 
 def joinable(df: DataFrame, tag: str, rows: int, row_bytes: int = 32) -> DataFrame:
