@@ -176,26 +176,3 @@ def test_generated_log_shows_planted_pairs(spark):
     cause, effect, *_ = logs.PLANTED[1]
     row = infer(logs.traced(log), cause, effect, max_len=2).first()
     assert row.confidence > 0.75 and row.lift > 2 and row.confidence_score > 50
-
-
-def test_engine_replays_files_and_cli(spark, tmp_path, capsys):
-    from traceloom import cli
-    from traceloom.streaming.realtime import Engine
-
-    src = tmp_path / "in"
-    src.mkdir()
-    log = [{"timestamp": 100.0 + i * 0.1, "trace_id": f"t{i % 30}", "event_type": "e", "message": "c" if i < 30 else "f"} for i in range(55)]
-    (src / "a.json").write_text("\n".join(map(json.dumps, log[:30])))
-    (src / "b.json").write_text(json.dumps(log[30:]))
-    engine = Engine(spark, str(tmp_path / "state"))
-    engine.watch("e: c", "e: f")
-    engine.start(str(src), once=True).awaitTermination()
-    got = engine.query("e: c", "e: f")
-    assert (got["co_occurrence_traces"], got["total_traces"], got["confidence"], got["mode"]) == (25, 30, 0.8333, "real-time")
-    assert engine.stats()["total_events"] == 55 and engine.pair_state("e: c", "e: f")["samples_collected"] == 2
-    assert engine.unwatch("e: c", "e: f") and engine.watched() == [] and engine.alerts().count() == 0
-    assert cli.main(["analyze", "-f", str(src / "a.json"), "--cause", "e: c"]) == 6
-    assert cli.main(["analyze", "-f", str(tmp_path / "none"), "--list-pairs"]) == 2
-    assert cli.main(["analyze", "-f", str(src / "a.json"), "-s", "--list-pairs"]) == 11
-    assert cli.main(["analyze", "-f", str(src / "a.json"), "--cause", "e: c", "--effect", "e: f", "--json"]) == 0
-    assert json.loads(capsys.readouterr().out)["co_occurrence_traces"] == 0

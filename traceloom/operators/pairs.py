@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import scoring as S
@@ -58,6 +58,18 @@ def gaps_rt(seq: DataFrame) -> DataFrame:
     return pair.select("trace_id", F.col("a.event_key").alias("cause"), F.col("b.event_key").alias("effect"), (S.d(F.col("b.us") - F.col("a.us")) / 1000).alias("gap_ms"))
 
 
+def ordered_pairs(seq: DataFrame) -> DataFrame:
+    """(trace_id, cause, effect, since) for keys with an event of the one arriving before one of the other that is not
+    earlier in time; since: the least time of such a later one. seq in order of arrival. For every event and key, the
+    key's least time among earlier arrivals decides, so a trace costs its events times its keys and no pairs of events are
+    listed."""
+    keys = seq.select("trace_id", F.col("event_key").alias("cause")).distinct()
+    before = Window.partitionBy("trace_id", "cause").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    least = F.min(F.when(F.col("event_key") == F.col("cause"), F.col("us"))).over(before)
+    rows = seq.join(keys, "trace_id").withColumn("least", least).where("least <= us")
+    return rows.groupBy("trace_id", "cause", F.col("event_key").alias("effect")).agg(F.min("us").alias("since"))
+
+
 GAPS = {"mem": gaps_mem, "ext": gaps_ext, "rt": gaps_rt}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions import scoring as S
-from traceloom.operators.pairs import interval_stats
+from traceloom.operators.pairs import interval_stats, ordered_pairs
 from traceloom.operators.traces import sequence
 
 
@@ -47,7 +47,8 @@ def window_stats(log: DataFrame, window_s: float, slide_s: float) -> DataFrame:
     events = per.groupBy("tick").agg(F.sum("n").alias("total_events"))
     traces = per.select("tick", "trace_id").distinct().groupBy("tick").agg(F.count("*").alias("total_traces"))
     kinds = per.select("tick", "event_key").distinct().groupBy("tick").agg(F.count("*").alias("unique_event_types"))
-    pairs = tick_gaps(log, window_s, slide_s).select("tick", "cause", "effect").distinct().groupBy("tick").agg(F.count("*").alias("pair_count"))
+    births = ordered_pairs(seq).join(born, "trace_id").withColumn("tick", F.explode(_ticks(F.col("first"), F.greatest("first", "since"), w, s)))
+    pairs = births.select("tick", "cause", "effect").distinct().groupBy("tick").agg(F.count("*").alias("pair_count"))
     out = traces.join(events, "tick").join(kinds, "tick").join(pairs, "tick", "left")
     return out.select("tick", "total_traces", "total_events", "unique_event_types", F.coalesce("pair_count", F.lit(0)).cast("long").alias("pair_count"))
 
@@ -79,3 +80,40 @@ def tick_scores(log: DataFrame, window_s: float, slide_s: float, min_support: in
     interval = S.interval_score(F.col("n_gaps"), F.col("avg_ms"), F.col("std_ms"))
     score = S.total_score(S.ratio(both, ca), S.lift(both, ca, ef, t), F.lit(S.LIVE_PATTERN), interval, both, ca, ef, min_support)
     return g.select("tick", "cause", "effect", score.alias("score"), both.alias("co_occurrence"), t.alias("total"))
+
+
+def pair_samples(log: DataFrame, pairs: list[tuple[str, str]], first_us: int, last_us: int, window_s: float, slide_s: float, min_support: int = 2) -> DataFrame:
+    """(ts in seconds, cause, effect, score, co_occurrence): a sample of every given pair at every tick of the grid from
+    first_us to last_us, also where the pair does not occur. One job for all pairs and ticks; events of other keys count
+    in the number of traces only."""
+    spark = log.sparkSession
+    w, s = int(window_s * 1e6), int(slide_s * 1e6)
+    seq = sequence(log, "rt")
+    born = _born(seq)
+    wanted = F.broadcast(spark.createDataFrame(pairs, "cause string, effect string").distinct())
+    named = F.broadcast(spark.createDataFrame([(k,) for p in pairs for k in p], "event_key string").distinct())
+
+    def ticks(since):
+        lo = F.greatest(F.ceil(since / s) * s, F.lit(first_us))
+        hi = F.least(F.floor((F.col("first") + w) / s) * s, F.lit(last_us))
+        return F.explode(F.when(lo <= hi, F.sequence(lo.cast("long"), hi.cast("long"), F.lit(s).cast("long")))).alias("tick")
+
+    total = born.select("trace_id", ticks(F.col("first"))).groupBy("tick").agg(F.count("*").alias("total"))
+    rows = seq.join(named, "event_key", "left_semi")
+    keys = rows.groupBy("trace_id", "event_key").agg(F.min("us").alias("since")).join(born, "trace_id")
+    n = keys.select("event_key", ticks(F.greatest("first", "since"))).groupBy("tick", "event_key").agg(F.count("*").alias("n"))
+    pair = rows.alias("a").join(rows.alias("b"), "trace_id").where("a.pos < b.pos and a.us <= b.us")
+    pair = pair.select("trace_id", F.col("a.event_key").alias("cause"), F.col("b.event_key").alias("effect"), F.col("b.us").alias("since"), (S.d(F.col("b.us") - F.col("a.us")) / 1000).alias("gap_ms"))
+    pair = pair.join(wanted, ["cause", "effect"], "left_semi").join(born, "trace_id")
+    gaps = pair.select("cause", "effect", "trace_id", "gap_ms", ticks(F.greatest("first", "since")))
+    gaps = gaps.where("cause <> effect").select(F.struct("tick", "cause").alias("cause"), "effect", "trace_id", "gap_ms")
+    stats = interval_stats(gaps).select("cause.tick", "cause.cause", "effect", "n_traces", "n_gaps", "avg_ms", "std_ms")
+    grid = spark.range(first_us, last_us + 1, s).withColumnRenamed("id", "tick")
+    grid = grid.withColumn("p", F.explode(F.array(*[F.struct(F.lit(c).alias("cause"), F.lit(e).alias("effect")) for c, e in dict.fromkeys(pairs)]))).select("tick", "p.*")
+    out = grid.join(stats, ["tick", "cause", "effect"], "left").join(total, "tick", "left")
+    out = out.join(n.select("tick", F.col("event_key").alias("cause"), F.col("n").alias("ca")), ["tick", "cause"], "left")
+    out = out.join(n.select("tick", F.col("event_key").alias("effect"), F.col("n").alias("ef")), ["tick", "effect"], "left")
+    both, ca, ef, t, gaps_n = (F.coalesce(F.col(c), F.lit(0)) for c in ("n_traces", "ca", "ef", "total", "n_gaps"))
+    interval = S.interval_score(gaps_n, F.col("avg_ms"), F.col("std_ms"))
+    score = S.total_score(S.ratio(both, ca), S.lift(both, ca, ef, t), F.lit(S.LIVE_PATTERN), interval, both, ca, ef, min_support)
+    return out.select((F.col("tick") / 1e6).cast("double").alias("ts"), "cause", "effect", score.alias("score"), both.alias("co_occurrence"))

@@ -6,6 +6,9 @@ microseconds since 1970, so that gaps are exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +74,18 @@ def json_lines(log: DataFrame) -> DataFrame:
     return log.select(F.to_json(F.struct(*[c for c in FIELDS if c in log.columns])).alias("value"))
 
 
+def write_sorted(log: DataFrame, path: str) -> None:
+    """JSON lines by trace, time, span and arrival over all files, in order of their names."""
+    json_lines(log.orderBy("trace_id", "us", "span_id", "arrival")).write.mode("overwrite").text(path)
+
+
+def batches(log: DataFrame, size: int = 50) -> Iterator[list[dict]]:
+    """A log's events in order of time, then arrival, `size` at once; the driver holds one partition at most."""
+    rows = log.orderBy("us", "arrival").select(*[c for c in FIELDS if c in log.columns]).toLocalIterator()
+    while part := [r.asDict() for r in islice(rows, size)]:
+        yield part
+
+
 #: Planted pairs of the generator: cause, effect, probability, milliseconds from and to.
 PLANTED = [
     ("db_query: lock wait", "http_request: gateway timeout", 0.85, 150, 400),
@@ -81,9 +96,9 @@ PLANTED = [
 ]
 
 
-def generate(spark: SparkSession, traces: int, seed: int = 42, per_trace: int = 8, start: float = 1_700_000_000.0, ratio: float = 1.0) -> DataFrame:
+def generate(spark: SparkSession, traces: int, seed: int = 42, per_trace: int = 8, start: float = 1_700_000_000.0, ratio: float = 1.0, start_at: int = 0) -> DataFrame:
     """A synthetic log with planted pairs: background events, then for every planted pair a cause in some traces and its
-    effect with the pair's probability times ratio. The same arguments give the same rows."""
+    effect with the pair's probability times ratio, from trace number start_at on. The same arguments give the same rows."""
     kinds = F.array(*[F.lit(k) for k in ("api_call: list", "api_call: get", "db_query: select", "cache_hit: page", "log: info", "rpc: send")])
     u = lambda *salt: F.pmod(F.xxhash64("id", *[F.lit(s) for s in (seed, *salt)]), F.lit(1_000_003)) / 1_000_003.0
     base = spark.range(traces).withColumn("t0", F.lit(start) + F.col("id") * 0.5)
@@ -95,7 +110,7 @@ def generate(spark: SparkSession, traces: int, seed: int = 42, per_trace: int =
     for i, (cause, effect, p, lo, hi) in enumerate(PLANTED):
         at = base.where(u(10, i) < 0.4).withColumn("tc", F.col("t0") + u(11, i))
         out = out.union(at.select("id", "tc", F.lit(cause)))
-        out = out.union(at.where(u(12, i) < p * ratio).select("id", F.col("tc") + (F.lit(lo) + u(13, i) * (hi - lo)) / 1000.0, F.lit(effect)))
+        out = out.union(at.where((u(12, i) < p * ratio) & (F.col("id") >= start_at)).select("id", F.col("tc") + (F.lit(lo) + u(13, i) * (hi - lo)) / 1000.0, F.lit(effect)))
     parts = F.split("key", ": ", 2)
     trace = F.format_string("trace-%08d", "id")
     span = F.concat(trace, F.lit("-"), F.hex(F.xxhash64("id", "key", "timestamp")))
