@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 from collections import Counter, defaultdict
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -176,3 +177,21 @@ def test_generated_log_shows_planted_pairs(spark):
     cause, effect, *_ = logs.PLANTED[1]
     row = infer(logs.traced(log), cause, effect, max_len=2).first()
     assert row.confidence > 0.75 and row.lift > 2 and row.confidence_score > 50
+
+
+def test_live_gaps_of_a_long_trace_and_of_mixed_arrivals(spark):
+    """One trace of 20,000 events, whose 200 million pairs are not listed; and arrivals out of order, against the listed pairs."""
+    n = 20_000
+    long = spark.range(n).selectExpr("'t' trace_id", "if(id % 2 = 0, 'A', 'B') event_key", "id * 1000 us", "id arrival", "'' span_id")
+    got = {(r.cause, r.effect): r for r in pairs.live_stats(traces.sequence(long, "rt")).collect()}
+    h = n // 2
+    assert got["A", "B"].n_gaps == h * (h + 1) // 2 and got["B", "A"].n_gaps == got["A", "A"].n_gaps == h * (h - 1) // 2
+    odd = np.arange(1, n, 2)
+    many = (n - odd + 1) // 2  # gaps of 1, 3, 5, ... ms
+    mean = (odd * many).sum() / many.sum()
+    assert got["A", "B"].avg_ms == pytest.approx(mean) and got["A", "B"].std_ms == pytest.approx(math.sqrt((many * (odd - mean) ** 2).sum() / many.sum()))
+    rng = np.random.default_rng(8)
+    rows = [(f"t{i % 9}", "ABC"[rng.integers(3)], int(rng.integers(0, 50) * 250 + i * (100 if i % 9 < 5 else 20_000)), i, "") for i in range(220)]
+    seq = traces.sequence(make(spark, rows), "rt")
+    shown = lambda df: {(r.cause, r.effect): (r.n_traces, r.n_gaps, round(r.avg_ms, 6), round(r.std_ms, 6)) for r in df.collect()}
+    assert shown(pairs.live_stats(seq)) == shown(pairs.interval_stats(pairs.gaps_rt(seq)))

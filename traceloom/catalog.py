@@ -70,7 +70,7 @@ def pair_metrics(spark, sf_dir):
 
 def _intervals(mode):
     def query(spark, sf_dir):
-        g = pairs.interval_stats(pairs.GAPS[mode](_seq(spark, sf_dir, mode)))
+        g = pairs.gap_stats(_seq(spark, sf_dir, mode), mode)
         score = scoring.interval_score(F.col("n_gaps"), F.col("avg_ms"), F.col("std_ms"))
         return g.select("cause", "effect", "n_traces", "n_gaps", F.round("avg_ms", 1).alias("avg_ms"), F.round("std_ms", 1).alias("std_ms"), F.round(score, 4).alias("interval_score"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import scoring as S
+from traceloom.operators.traces import WHOLE, WIDE, gap_parts, mean_and_deviation
 
 
 def firsts(seq: DataFrame) -> DataFrame:
@@ -70,6 +71,31 @@ def ordered_pairs(seq: DataFrame) -> DataFrame:
     return rows.groupBy("trace_id", "cause", F.col("event_key").alias("effect")).agg(F.min("us").alias("since"))
 
 
+def live_parts(seq: DataFrame) -> DataFrame:
+    """gap_parts under the live rule: gaps to later arrivals that are not earlier in time; seq in order of arrival. Pairs
+    of events are listed only in traces whose events did not arrive in order of time."""
+    earlier = F.lag("us").over(Window.partitionBy("trace_id").orderBy("pos"))
+    mixed = seq.withColumn("before", earlier).where("before > us").select("trace_id").distinct()
+    straight, rest = seq.join(mixed, "trace_id", "left_anti"), seq.join(mixed, "trace_id", "left_semi")
+    pair = rest.alias("a").join(rest.alias("b"), "trace_id").where("a.pos < b.pos and a.us <= b.us")
+    gap = (F.col("b.us") - F.col("a.us")).cast(WHOLE)
+    listed = pair.select("trace_id", F.col("a.event_key").alias("cause"), F.col("b.event_key").alias("effect"), F.col("b.us").alias("us"), F.lit(1).cast("long").alias("n"), gap.cast(WIDE).alias("g1"), (gap * gap).cast(WIDE).alias("g2"))
+    return gap_parts(straight).unionByName(listed)
+
+
+def live_stats(seq: DataFrame) -> DataFrame:
+    """interval_stats of gaps_rt, without its rows."""
+    per = live_parts(seq).groupBy("trace_id", "cause", "effect").agg(*[F.sum(x).alias(x) for x in ("n", "g1", "g2")])
+    out = per.groupBy("cause", "effect").agg(F.count("*").alias("n_traces"), *[F.sum(x).alias(x) for x in ("n", "g1", "g2")])
+    mean, deviation = mean_and_deviation(F.col("n"), F.col("g1"), F.col("g2"))
+    return out.select("cause", "effect", "n_traces", F.col("n").alias("n_gaps"), mean.alias("avg_ms"), deviation.alias("std_ms"))
+
+
+def gap_stats(seq: DataFrame, mode: str) -> DataFrame:
+    """(cause, effect, n_traces, n_gaps, avg_ms, std_ms) under a mode's rule; seq in the mode's order."""
+    return live_stats(seq) if mode == "rt" else interval_stats(GAPS[mode](seq))
+
+
 GAPS = {"mem": gaps_mem, "ext": gaps_ext, "rt": gaps_rt}
 
 

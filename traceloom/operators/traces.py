@@ -42,12 +42,12 @@ def trace_stats(seq: DataFrame) -> DataFrame:
     return per.groupBy("trace_id").agg(F.sum("n").alias("n_events"), F.count("*").alias("n_keys"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
 
 
-def edge_stats(seq: DataFrame) -> DataFrame:
-    """(cause, effect, n_traces, n_pairs, avg_ms, std_ms) over all ordered pairs of events of a trace.
+def gap_parts(seq: DataFrame) -> DataFrame:
+    """(trace_id, cause, effect, us, n, g1, g2): for every event and every key of its trace that came before it, the number
+    and the first and second sums of the gaps from that key's events, whole microseconds as decimals; us: the event's time.
 
-    Pairs are not listed: for every event and every key of its trace, running counts and sums of the key's earlier times
-    give the gaps' sums, so a trace costs its events times its keys. Sums are of whole microseconds in decimals, and the
-    deviation is taken about the mean's whole part, so both are exact before the last division.
+    Pairs are not listed: running counts and sums of the key's earlier times give the sums, so a trace costs its events
+    times its keys.
     """
     keys = seq.groupBy("trace_id", "event_key").agg(F.min("us").alias("zero")).select("trace_id", F.col("event_key").alias("cause"))
     origin = seq.groupBy("trace_id").agg(F.min("us").alias("zero"))
@@ -57,29 +57,34 @@ def edge_stats(seq: DataFrame) -> DataFrame:
     none = F.lit(0).cast(WHOLE)
     square = (F.col("t") * F.col("t")).cast(WIDE)
     rows = rows.select(
-        "trace_id", "cause", "event_key", "t",
+        "trace_id", "cause", F.col("event_key").alias("effect"), "us", "t",
         F.sum(F.when(hit, 1).otherwise(0)).over(before).cast(WHOLE).alias("c"),
         F.sum(F.when(hit, F.col("t")).otherwise(none)).over(before).cast(WIDE).alias("s"),
         F.sum(F.when(hit, square).otherwise(none)).over(before).cast(WIDE).alias("q"),
     )
-    rows = rows.where("c > 0")
     t, c, s, q = (F.col(x) for x in "tcsq")
     wide = lambda x: x.cast(WIDE)
     first = wide(wide(c * t) - s)
     second = wide(wide(wide(wide(c * t) * t) - wide(wide(t * s) * 2)) + q)
-    per = rows.groupBy("trace_id", "cause", F.col("event_key").alias("effect"))
-    per = per.agg(F.sum("c").alias("n"), F.sum(first).alias("g1"), F.sum(second).alias("g2"))
-    out = per.groupBy("cause", "effect").agg(F.count("*").alias("n_traces"), F.sum("n").cast("long").alias("n_pairs"), F.sum("g1").alias("g1"), F.sum("g2").alias("g2"))
-    out = out.withColumn("n", F.col("n_pairs").cast(WHOLE)).withColumn("m", F.expr("g1 div n_pairs").cast(WHOLE))
-    rest = F.col("g1") - wide(F.col("m") * F.col("n"))
-    about = F.col("g2") - wide(wide(F.col("m") * F.col("g1")) * 2) + wide(wide(F.col("m") * F.col("m")) * F.col("n"))
-    off = d(rest) / d(F.col("n"))
-    variance = F.greatest(d(about) / d(F.col("n")) - off * off, F.lit(0.0))
-    return out.select(
-        "cause", "effect", "n_traces", "n_pairs",
-        F.round((d(F.col("m")) + off) / 1000, 2).alias("avg_ms"),
-        F.round(F.sqrt(variance) / 1000, 2).alias("std_ms"),
-    )
+    return rows.where("c > 0").select("trace_id", "cause", "effect", "us", c.cast("long").alias("n"), first.alias("g1"), second.alias("g2"))
+
+
+def mean_and_deviation(n, g1, g2):
+    """Mean and population deviation, in milliseconds, of n gaps with sums g1 and g2 in microseconds. The deviation is taken
+    about the mean's whole part, in decimals, so both are exact before the last division."""
+    wide = lambda x: x.cast(WIDE)
+    count, m = n.cast(WHOLE), F.floor(g1 / n).cast(WHOLE)
+    off = d(wide(g1 - wide(m * count))) / d(n)
+    about = g2 - wide(wide(m * g1) * 2) + wide(wide(m * m) * count)
+    return (d(m) + off) / 1000, F.sqrt(F.greatest(d(about) / d(n) - off * off, F.lit(0.0))) / 1000
+
+
+def edge_stats(seq: DataFrame) -> DataFrame:
+    """(cause, effect, n_traces, n_pairs, avg_ms, std_ms) over all ordered pairs of events of a trace."""
+    per = gap_parts(seq).groupBy("trace_id", "cause", "effect").agg(*[F.sum(x).alias(x) for x in ("n", "g1", "g2")])
+    out = per.groupBy("cause", "effect").agg(F.count("*").alias("n_traces"), *[F.sum(x).alias(x) for x in ("n", "g1", "g2")])
+    mean, deviation = mean_and_deviation(F.col("n"), F.col("g1"), F.col("g2"))
+    return out.select("cause", "effect", "n_traces", F.col("n").alias("n_pairs"), F.round(mean, 2).alias("avg_ms"), F.round(deviation, 2).alias("std_ms"))
 
 
 def log_stats(seq: DataFrame, lines: DataFrame) -> DataFrame:

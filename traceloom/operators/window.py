@@ -5,12 +5,12 @@ A trace enters at its first event's time and leaves, whole, one window later; at
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import scoring as S
-from traceloom.operators.pairs import interval_stats, ordered_pairs
-from traceloom.operators.traces import sequence
+from traceloom.operators.pairs import interval_stats, live_parts, ordered_pairs
+from traceloom.operators.traces import mean_and_deviation, sequence
 
 
 def snapshot(log: DataFrame, now_us: int, window_s: float = 300.0) -> DataFrame:
@@ -53,13 +53,36 @@ def window_stats(log: DataFrame, window_s: float, slide_s: float) -> DataFrame:
     return out.select("tick", "total_traces", "total_events", "unique_event_types", F.coalesce("pair_count", F.lit(0)).cast("long").alias("pair_count"))
 
 
-def tick_gaps(log: DataFrame, window_s: float, slide_s: float) -> DataFrame:
-    """(tick, trace_id, cause, effect, gap_ms): every ordered pair of arrivals, at the ticks that see both."""
-    w, s = int(window_s * 1e6), int(slide_s * 1e6)
-    seq = sequence(log, "rt")
-    pair = seq.alias("a").join(seq.alias("b"), "trace_id").where("a.pos < b.pos and a.us <= b.us").join(_born(seq), "trace_id")
-    ticks = F.explode(_ticks(F.col("first"), F.greatest("first", "b.us"), w, s)).alias("tick")
-    return pair.select(ticks, "trace_id", F.col("a.event_key").alias("cause"), F.col("b.event_key").alias("effect"), (S.d(F.col("b.us") - F.col("a.us")) / 1000).alias("gap_ms"))
+def _running(changes: DataFrame, slide_us: int, *sums: str) -> DataFrame:
+    """(tick, cause, effect and the sums) at every tick of the grid at which a pair is there; changes: what is added at a
+    tick, and taken away again after another. One row a pair and change goes through the window, not one a pair and tick."""
+    by = Window.partitionBy("cause", "effect").orderBy("tick")
+    each = changes.groupBy("cause", "effect", "tick").agg(*[F.sum(x).alias(x) for x in sums])
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = each.select("cause", "effect", "tick", *[F.sum(x).over(upto).cast(each.schema[x].dataType).alias(x) for x in sums], F.lead("tick").over(by).alias("next"))
+    until = F.col("next") - slide_us
+    rows = rows.where((F.col(sums[0]) > 0) & (until >= F.col("tick")))
+    return rows.withColumn("tick", F.explode(F.sequence("tick", until, F.lit(slide_us).cast("long")))).drop("next")
+
+
+def _stays(rows: DataFrame, since, window_us: int, slide_us: int, *sums: str) -> DataFrame:
+    """Rows (cause, effect, sums, first) as changes: added at the first tick that sees them, taken away after the last."""
+    lo = (F.ceil(since / slide_us) * slide_us).cast("long")
+    hi = (F.floor((F.col("first") + window_us) / slide_us) * slide_us).cast("long")
+    both = F.array(F.struct(lo.alias("tick"), *[F.col(x).alias(x) for x in sums]), F.struct((hi + slide_us).alias("tick"), *[(-F.col(x)).alias(x) for x in sums]))
+    return rows.where(lo <= hi).select("cause", "effect", F.explode(both).alias("x")).select("cause", "effect", "x.*")
+
+
+def tick_pairs(seq: DataFrame, window_us: int, slide_us: int) -> DataFrame:
+    """(tick, cause, effect, n_traces, n_gaps, avg_ms, std_ms) of different keys; seq in order of arrival."""
+    born = _born(seq)
+    earliest = Window.partitionBy("trace_id", "cause", "effect").orderBy("us")
+    parts = live_parts(seq).where("cause <> effect").join(born, "trace_id")
+    parts = parts.withColumn("n_traces", (F.row_number().over(earliest) == 1).cast("long"))  # a trace counts from its first gap on
+    sums = ("n_traces", "n", "g1", "g2")
+    at = _running(_stays(parts, F.greatest("first", "us"), window_us, slide_us, *sums), slide_us, *sums)
+    mean, deviation = mean_and_deviation(F.col("n"), F.col("g1"), F.col("g2"))
+    return at.select("tick", "cause", "effect", "n_traces", F.col("n").alias("n_gaps"), mean.alias("avg_ms"), deviation.alias("std_ms"))
 
 
 def tick_scores(log: DataFrame, window_s: float, slide_s: float, min_support: int = 2) -> DataFrame:
@@ -71,9 +94,7 @@ def tick_scores(log: DataFrame, window_s: float, slide_s: float, min_support: in
     keys = keys.select("trace_id", "event_key", F.explode(_ticks(F.col("first"), F.greatest("first", "since"), w, s)).alias("tick"))
     n = keys.groupBy("tick", "event_key").agg(F.count("*").alias("n"))
     total = keys.select("tick", "trace_id").distinct().groupBy("tick").agg(F.count("*").alias("total"))
-    gaps = tick_gaps(log, window_s, slide_s).where("cause <> effect")
-    at = F.struct("tick", "cause")  # interval_stats groups by one cause; the tick rides along
-    g = interval_stats(gaps.select(at.alias("cause"), "effect", "trace_id", "gap_ms")).select("cause.tick", "cause.cause", "effect", "n_traces", "n_gaps", "avg_ms", "std_ms")
+    g = tick_pairs(seq, w, s)
     g = g.join(n.select("tick", F.col("event_key").alias("cause"), F.col("n").alias("ca")), ["tick", "cause"])
     g = g.join(n.select("tick", F.col("event_key").alias("effect"), F.col("n").alias("ef")), ["tick", "effect"]).join(total, "tick")
     both, ca, ef, t = F.col("n_traces"), F.col("ca"), F.col("ef"), F.col("total")

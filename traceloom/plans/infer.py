@@ -23,7 +23,7 @@ def infer_pairs(log: DataFrame, mode: str = "mem", min_support: int = 2, max_len
         seq_pair = seq.where(F.col("event_key").isin(cause, effect))
     else:
         seq_pair = seq
-    gaps = P.interval_stats(P.GAPS[mode](seq_pair).where(F.col("cause") != F.col("effect")))
+    gaps = P.gap_stats(seq_pair, mode).where(F.col("cause") != F.col("effect"))
     if mode == "rt":
         counts = P.with_counts(gaps.select("cause", "effect", F.col("n_traces").alias("both")), keys)
     else:
