@@ -278,7 +278,7 @@ def _alerts(rule: anomaly.Rule) -> str:
     return f"""{_RT.replace("log AS (", "log AS MATERIALIZED (")},
 s0 AS MATERIALIZED (SELECT cause, effect, (tick / 1e6)::DOUBLE AS ts, score, co_occurrence AS co, row_number() OVER w AS n, avg(score) OVER p AS m, stddev_pop(score) OVER p AS sd FROM rts
   WINDOW w AS (PARTITION BY cause, effect ORDER BY tick), p AS (PARTITION BY cause, effect ORDER BY tick ROWS BETWEEN {rule.baseline} PRECEDING AND 1 PRECEDING)),
-samples AS MATERIALIZED (SELECT cause, effect, ts, score, co, n, CASE WHEN n > {rule.min_samples} THEN m ELSE 0 END AS mean, CASE WHEN n > {rule.min_samples} THEN sd ELSE 0 END AS std FROM s0),
+samples AS MATERIALIZED (SELECT cause, effect, ts, score, co, n, CASE WHEN n > {rule.min_samples} THEN round(m, 9) ELSE 0 END AS mean, CASE WHEN n > {rule.min_samples} THEN round(sd, 9) ELSE 0 END AS std FROM s0),
 fold AS (
   SELECT DISTINCT cause, effect, 0::BIGINT AS n, 0::DOUBLE AS up, 0::DOUBLE AS down, 0 AS breaches, -1e18::DOUBLE AS quiet, NULL::DOUBLE AS ts, NULL::DOUBLE AS score, NULL::BIGINT AS co, 0::DOUBLE AS mean, 0::DOUBLE AS std, false AS spike, false AS fired FROM samples
   UNION ALL

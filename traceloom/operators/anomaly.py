@@ -48,12 +48,14 @@ class Monitor:
 
     def add(self, ts: float, score: float, co: int, rule: Rule) -> dict | None:
         """Take one sample; the alert that it raises, if any. The baseline is of earlier scores, and still zero when the
-        first min_samples are full; the sample's own time counts for the cooldown, in which nothing is updated."""
+        first min_samples are full; the sample's own time counts for the cooldown, in which nothing is updated. Scores have
+        one decimal, so mean and deviation are taken to nine: what is beyond is noise of the sums, and would decide ties."""
         self.samples += 1
         self.recent = [*self.recent, [ts, score]][-rule.kept :]
         if len(self.base) >= rule.min_samples:
-            self.mean = math.fsum(self.base) / len(self.base)
-            self.std = math.sqrt(math.fsum((x - self.mean) ** 2 for x in self.base) / len(self.base)) if len(self.base) > 1 else 0.0
+            mean = math.fsum(self.base) / len(self.base)
+            self.mean = round(mean, 9)
+            self.std = round(math.sqrt(math.fsum((x - mean) ** 2 for x in self.base) / len(self.base)), 9)
         self.base = [*self.base, score][-rule.baseline :]
         if len(self.base) < rule.min_samples or ts - self.last_alert < rule.cooldown:
             return None
