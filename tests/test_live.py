@@ -14,6 +14,7 @@ from traceloom.sources import logs
 from traceloom.streaming.realtime import Engine, detect_stream, event_windows
 from traceloom.streaming.server import Api, BadRequest, drop, serve
 from traceloom.streaming.storage import Files
+from traceloom.streaming.websocket import LARGEST, connect, xor
 
 
 def event(ts, trace, message):
@@ -150,6 +151,57 @@ def test_http_routes(spark, tmp_path):
         Api(engine, str(tmp_path / "in")).call("POST", "/api/watch", "[]")
 
 
+def test_sockets(spark, tmp_path):
+    mine = []
+    engine = Engine(spark, str(tmp_path / "state"), on_alert=mine.append, sample_s=3600.0)
+    server = serve(engine, str(tmp_path / "in"), port=0)
+    base = f"ws://127.0.0.1:{server.server_address[1]}"
+    pair = {"cause": "e: c", "effect": "e: f"}
+    take = lambda s: json.loads(s.receive())
+    alerts, sender = connect(f"{base}/ws/alerts"), connect(f"{base}/ws/ingest")
+    try:
+        assert take(alerts)["type"] == take(sender)["type"] == "welcome"
+        alerts.send(json.dumps({"action": "watch", **pair}))
+        assert take(alerts) == {"type": "watch_ack", **pair, "watched": True} and engine.watched() == [["e: c", "e: f"]]
+        for odd in ("{bad", "[1]", '{"action": "watch", "cause": 1, "effect": "x"}', '{"action": "none"}', "null"):
+            alerts.send(odd)  # ignored
+        alerts.send(json.dumps({"action": "unwatch", **pair}))
+        assert take(alerts) == {"type": "unwatch_ack", **pair, "watched": False} and engine.watched() == []
+        alerts.send(json.dumps({"action": "ping"}))
+        assert take(alerts)["type"] == "pong"
+        health = cli.Remote(f"{base}/ws/ingest").call("GET", "/api/health")
+        assert health["ingest_clients"] == health["alert_clients"] == 1
+        sender.send("{bad")
+        assert take(sender) == {"type": "error", "message": "Invalid JSON payload"}
+        sender.send(json.dumps([event(100.0, "t", "c"), 7, event(100.2, "t", "f")]))
+        sender.send("3")
+        half = json.dumps(event(100.4, "ü" * 70_000, "c")).encode()  # a long message, in two frames with a ping between
+        sender._put(9, b"here")
+        for first, data in ((0x01, half[:130]), (0x89, b"?"), (0x80, half[130:])):
+            key, n = b"abcd", len(data)
+            size = bytes([0x80 | n]) if n < 126 else b"\xfe" + n.to_bytes(2, "big") if n < 1 << 16 else b"\xff" + n.to_bytes(8, "big")
+            sender.write(bytes([first]) + size + key + xor(data, key))
+        sender.send("{bad")
+        assert take(sender)["type"] == "error"  # all before it has been taken
+        engine.on_alert({"alert_id": "x", "message": "ä"})
+        assert take(alerts) == {"type": "alert", "data": {"alert_id": "x", "message": "ä"}} and mine == [{"alert_id": "x", "message": "ä"}]
+        for first in (b"\x82\x80abcd", b"\x81\x01x", b"\x80\x80abcd", b"\x81\xff" + (LARGEST + 1).to_bytes(8, "big"), b"\x81\x81\0\0\0\0\xff"):
+            wrong = connect(f"{base}/ws/ingest")
+            take(wrong)
+            wrong.write(first)  # binary, not masked, continues nothing, too large, no UTF-8
+            assert wrong.receive() is None and not wrong.open
+        with pytest.raises(ConnectionError):
+            connect(f"{base}/ws/nothing")
+        assert cli.main(["push", "-n", "4", "-i", "0", "-s", base]) == 0
+        sender.finish()
+    finally:
+        server.shutdown()
+    assert alerts.receive() is None and engine.on_alert == mine.append
+    sent = [json.loads(x) for p in sorted((tmp_path / "in").glob("*.json")) for x in p.read_text().splitlines()]
+    assert [e["timestamp"] for e in sent[:3]] == [100.0, 100.2, 100.4] and sent[2]["trace_id"] == "ü" * 70_000
+    assert len({e["trace_id"] for e in sent}) == 6
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     log = tmp_path / "a.json"
     log.write_text("\n".join(json.dumps(event(100.0 - i, f"t{i % 5}", "fc"[i % 2])) for i in range(20)))

@@ -140,7 +140,7 @@ class Remote:
     """A served engine, over HTTP."""
 
     def __init__(self, server: str):
-        self.server = server.rstrip("/").replace("ws://", "http://")
+        self.server = server.rstrip("/").replace("ws://", "http://").removesuffix("/ws/ingest").removesuffix("/ws/alerts")
 
     def call(self, method: str, url: str, body=None) -> dict:
         from urllib.request import Request, urlopen
@@ -163,16 +163,18 @@ class Local:
 
 
 def push(spark, o) -> int:
-    """Send a generated log trace by trace, or a file's events by time in batches, paced."""
+    """Send a generated log trace by trace, or a file's events by time in batches, paced; to ws:// through one socket."""
     from traceloom.sources.logs import batches, generate, parse_lines, json_lines, read_logs
     from pyspark.sql import functions as F
 
     from traceloom.streaming.server import drop
     from traceloom.streaming.storage import Files
+    from traceloom.streaming.websocket import connect
 
     if o.mode == "replay" and not (o.file and ("://" in o.file or Path(o.file).exists())):
         return 2
     remote = Remote(o.server) if o.server else None
+    socket = connect(f"ws://{remote.server.removeprefix('http://')}/ws/ingest") if remote and o.server.startswith("ws://") else None
     files = Files(spark, o.source) if o.source else None
     if o.mode == "replay":
         parts = batches(read_logs(spark, o.file))
@@ -189,8 +191,12 @@ def push(spark, o) -> int:
         time.sleep(max(0.0, pause))
         if files:
             drop(files, json.dumps(part))
-        if remote:
+        if socket:
+            socket.send(json.dumps(part))
+        elif remote:
             remote.call("POST", "/api/ingest", part)
+    if socket:
+        socket.finish()
     return 0
 
 
