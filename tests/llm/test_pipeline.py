@@ -7,13 +7,14 @@ import corpus_pipeline
 from traceloom.llm import mixing, pieces
 from traceloom.llm.common import save
 from traceloom.llm.pipeline import language_id
-from tests.llm.test_operators import brute_components, brute_simhash, words
+from tests.llm.test_resemblance import brute_classes
+from tests.llm.test_operators import words
 
 
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [r for r in docs.collect() if any(map(str.isalpha, r.text or ""))]
-    comp = brute_components([r.doc_id for r in rows], [brute_simhash(r.text) for r in rows])
+    comp = brute_classes([r.doc_id for r in rows], [r.text for r in rows])
     rows = [r for r, c in zip(rows, comp) if r.doc_id == c]
     seqs = [words(r.text) for r in rows]
     seen = Counter(tuple(w[i : i + 35]) for w in seqs for i in range(len(w) - 34))

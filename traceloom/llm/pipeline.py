@@ -21,8 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, that of the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One row of each group of near-duplicates, that of the smallest doc_id: texts whose five-word shingles are alike by
+    0.8 or more, and those that a chain of such texts joins."""
+    return simhash.one_of_each(docs, size=5, similarity=0.8)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

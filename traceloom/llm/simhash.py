@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from traceloom.llm.common import binary_texts, column, joinable, map_arrow, mix, quoted, save, small, times_taken
 from traceloom.llm.components import stars
+from traceloom.llm.resemblance import classes
 
 SEED = 42
 #: Distinct fingerprints up to which segments are of 4 bits.
@@ -241,13 +242,21 @@ def near_duplicates(docs: DataFrame, size: int = 4, bits: int = 4, id_col: str =
     return joined.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
 
 
-def one_of_each(docs: DataFrame, size: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """The input's rows and columns, whatever their names, of each component only the row of smallest id (of equal ids,
-    smallest text hash; of rows equal in both, one). A component of null ids alone cannot be told from another, so rows
-    without an id are judged by fingerprint alone. An empty table gives an empty one."""
-    found = near_duplicates(docs, size, bits, id_col, text_col)
-    group = F.when(F.col("component_id").isNull(), F.col("fingerprint")).otherwise(F.col("component_id").cast("string"))
-    rows = found.groupBy(group.alias("g"), "doc_id", "text_key").agg(F.count("*").alias("n"))
-    first = rows.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "text_key", "n")).alias("x"))
-    first = first.select(F.col("x.doc_id").alias("id"), F.col("x.text_key").alias("text_key"), F.col("x.n").alias("n"), F.lit(1).cast("long").alias("c"))
+    smallest text hash; of rows equal in both, one). An empty table gives an empty one.
+
+    Without `similarity` components are those of fingerprints within `bits`; a component of null ids alone cannot be told
+    from another then, so rows without an id are judged by fingerprint alone. With it a link is two texts whose sets of
+    `size`-word shingles reach that Jaccard similarity: those that fingerprints within `bits` lead to are verified first,
+    and resemblance.classes finds the rest."""
+    if similarity is None:
+        found = near_duplicates(docs, size, bits, id_col, text_col).withColumnRenamed("doc_id", "id")
+        group = F.when(F.col("component_id").isNull(), F.col("fingerprint")).otherwise(F.col("component_id").cast("string"))
+    else:
+        found = classes(docs, lambda words: shingle_hashes(words, size), majority, lambda fps: links(fps, bits), similarity, id_col, text_col)
+        group = F.col("root")
+    rows = found.groupBy(group.alias("g"), "id", "text_key").agg(F.count("*").alias("n"))
+    first = rows.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("o"), "id", "text_key", "n")).alias("x"))
+    first = first.select(F.col("x.id").alias("id"), F.col("x.text_key").alias("text_key"), F.col("x.n").alias("n"), F.lit(1).cast("long").alias("c"))
     return times_taken(docs, first, id_col, text_col)
