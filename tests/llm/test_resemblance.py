@@ -61,6 +61,35 @@ def test_similar_sets_share_a_signature(similarity):
     assert resemblance.similar(a, b, 0.8) and np.intersect1d(resemblance.signatures(a), resemblance.signatures(b)).size
 
 
+def test_unlike_bits_are_a_lower_bound():
+    rng = np.random.default_rng(2)
+    for n, m in [(0, 0), (0, 1), (1, 40), (64, 65), (500, 520), (500, 600), (1020, 1030), (300, 5000)]:
+        for both in {0, min(n, m) // 2, min(n, m)}:
+            pool = rng.integers(0, 2**64, n + m, dtype=np.uint64)
+            a, b = np.unique(pool[:n]), np.unique(pool[n - both : n - both + m])
+            bound = resemblance.unlike(resemblance.sketch(a), resemblance.sketch(b))
+            assert bound == resemblance.unlike(resemblance.sketch(b), resemblance.sketch(a)) <= len(np.setxor1d(a, b))
+    # Sets alike by a half are told from those that must be verified.
+    pool = np.unique(rng.integers(0, 2**64, 800, dtype=np.uint64))
+    rng.shuffle(pool)
+    assert resemblance.unlike(resemblance.sketch(pool[:600]), resemblance.sketch(pool[200:])) > 1200 * 0.2 / 1.8
+
+
+def test_packed_signatures_give_every_posting():
+    rng = np.random.default_rng(4)
+    for limit in (50, 1 << 63):
+        sig = rng.integers(0, limit, 5000, dtype=np.int64)
+        sid = rng.integers(-20, 20, 5000) if limit > 50 else rng.integers(-(2**63), 2**63 - 1, 5000, dtype=np.int64)
+        sig = np.r_[sig, sig[:300]]
+        sid = np.r_[sid, sid[:150], sid[150:300] ^ 1]
+        want = defaultdict(set)
+        for g, x in zip(sig.tolist(), sid.tolist()):
+            want[g].add(x)
+        got = list(zip(*(x.tolist() for x in resemblance.shared(sig, sid))))
+        assert sorted(got) == sorted((g, x, i) for g, s in want.items() if len(s) > 1 for i, x in enumerate(sorted(s)))
+    assert [len(x) for x in resemblance.shared(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0, 0]
+
+
 def edited(rng, w, share):
     return [f"e{rng.random()}" if rng.random() < share else x for x in w]
 
@@ -109,3 +138,22 @@ def test_documents(spark, sf):
     rows = docs.collect()
     kept = simhash.one_of_each(docs, size=5, similarity=0.8)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_classes([r.doc_id for r in rows], [r.text for r in rows])))
+
+
+def test_signatures_and_sets_of_all_texts_are_not_stored(spark, sf, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    elements = sum(len(brute_shingles(r.text)) for r in docs.select("text").collect())
+    monkeypatch.setattr("traceloom.llm.common.shared_dir", lambda _: f"file://{tmp_path}")
+    simhash.one_of_each(docs, size=5, similarity=0.8).count()
+    # All tables together, the postings included, take less than half the sets' 8 bytes an element.
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 4 * elements
+
+
+def test_classes_where_nothing_is_broadcast(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+    for name in ("common", "resemblance"):
+        monkeypatch.setattr(f"traceloom.llm.{name}.BROADCAST_BYTES", 0)
+    monkeypatch.setattr(resemblance, "PACKED", 5000)
+    kept = simhash.one_of_each(docs, size=5, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_classes([r.doc_id for r in rows], [r.text for r in rows])))

@@ -4,16 +4,23 @@ A 64-bit fingerprint tells pairs of similarity 0.95 from the rest, not those of
 bits. This module finds all of them, starting from the links that fingerprints give.
 
 Two sets of at most `top` elements each and of similarity s or more differ in at most k = 2 * top * (1 - s) / (1 + s)
-elements. Cut the range of the hashes into m > k parts: the sets agree wholly in m - k parts at least. So each set sends one
-signature for every part that holds any of its elements; a few parts more than needed make up for empty ones, and a set
-with too many of those sends its smallest hashes too, of which similar sets share one. Sizes fall in intervals of ratio s; a
-set takes part in its own interval and the next. Equal signatures thus meet the sets of every linked pair, while sets that
-merely share a passage rarely agree in a part.
+elements. Cut the range of the hashes into m > k parts: the sets differ in k parts at most. So each set sends a signature
+for each of the first d + 1 parts that hold any of its elements, where it differs from no set of its partners' sizes in more
+than d: of two sets, the one whose d + 1 parts end first has one among them in which both agree, and the other sends that
+too. A few parts more than needed make up for empty ones, and a set with too many of those sends its smallest hashes too,
+of which similar sets share one. Sizes fall in intervals of ratio s; a set takes part in its own interval and the next.
+Equal signatures thus meet the sets of every linked pair, while sets that merely share a passage rarely agree in a part.
+
+Signatures are many, a half of the elements, and few are shared. They are never stored: a task packs those of many texts by
+slice of their range into arrays, which are shuffled, and only those that two sets share are written. 44 bits of each are
+kept, which may make two meet by chance but never parts equal ones.
 
 Sets that share a signature are a posting. Round by round, the first members of a posting (one, then four, sixteen and
 so on) are compared with its later members of other components; a posting whose members are all in one component is done. A
-posting of near copies ends with its first round, so pairs do not grow with the square of a group. Compared pairs pass the
-Manhattan bound on their counts by part of the hash range first, and the exact test on whole sets then.
+posting of near copies ends with its first round, so pairs do not grow with the square of a group. Compared pairs pass a
+bound first, and the exact test on whole sets then. The bound is the unlike bits of two sketches, which hold the parity of a
+set's counts in about as many parts of the hash range as it has elements: a part whose parities differ holds an element
+that only one set has.
 """
 
 from __future__ import annotations
@@ -28,11 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import binary_texts, column, joinable, map_arrow, mix, quoted, save
+from traceloom.llm.common import BROADCAST_BYTES, binary_texts, column, joinable, map_arrow, mix, quoted, save
 from traceloom.llm.components import stars
 
-#: Counts of a set's profile.
+#: Counts of a set's profile, unless told otherwise.
 CELLS = 32
+#: Slices of the signatures' range, and signatures that a task packs at a time.
+SLICES, PACKED = 4096, 1 << 20
+#: What is known of each text.
+ROW = ["id", "text_key", "fp", "sid", "n", "sketch"]
+ROW_TYPES = "id long, text_key long, fp long, sid long, n long, sketch binary"
 #: Sets that a task remembers to have signed.
 REMEMBERED = 100_000
 
@@ -64,22 +76,40 @@ def signatures(hashes: np.ndarray, similarity: float = 0.8) -> np.ndarray:
         return np.zeros(0, np.uint64)
     mixed, own = mix(hashes), int(np.searchsorted(tops, n))
     for table in (own, own + 1):
-        differ = math.floor(2 * tops[table] * (1 - similarity) / (1 + similarity) + 1e-9)
+        share, most = (1 - similarity) / (1 + similarity), min(tops[table], math.floor(n / similarity + 1e-6))
+        differ, need = math.floor(2 * tops[table] * share + 1e-6), math.floor((n + most) * share + 1e-6) + 1
         spare = 3 + differ // 10
         part = slots(hashes, differ + 1 + spare)
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         salt = np.uint64((table + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        out.append(mix(mix(np.add.reduceat(mixed, starts) ^ salt) + part[starts]))
-        if len(starts) <= differ:
+        out.append(mix(mix(np.add.reduceat(mixed, starts)[:need] ^ salt) + part[starts[:need]]))
+        if len(starts) < need:
             first = n - math.ceil(similarity * n - 1e-9) + 1
             out.append(mix(mixed[:first] + salt))
     return np.concatenate(out)
 
 
-def profile(hashes: np.ndarray) -> bytes:
-    """Counts of a set's hashes in CELLS parts of their range; two profiles' Manhattan distance is a lower bound on the
+def profile(hashes: np.ndarray, cells: int = CELLS) -> bytes:
+    """Counts of a set's hashes in equal parts of their range; two profiles' Manhattan distance is a lower bound on the
     number of elements in which the sets differ."""
-    return np.bincount(slots(hashes, CELLS).astype(np.int64), minlength=CELLS).astype(np.int32).tobytes()
+    return np.bincount(slots(hashes, cells).astype(np.int64), minlength=cells).astype(np.int32).tobytes()
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parities of a set's profile of as many counts as it has elements, rounded up to a power of two, 64 at least."""
+    cells = max(64, 1 << max(len(hashes) - 1, 0).bit_length())
+    return np.packbits(np.frombuffer(profile(hashes, cells), np.int32).astype(np.uint8) & 1).tobytes()
+
+
+def unlike(a: bytes, b: bytes) -> int:
+    """Unlike bits of two sketches, a lower bound on the number of elements in which the sets differ. Of two counts side by
+    side the parities' XOR is that of their sum, so the longer sketch is brought to the shorter one's length."""
+    if len(a) > len(b):
+        a, b = b, a
+    while len(b) > len(a):
+        bits = np.unpackbits(np.frombuffer(b, np.uint8))
+        b = np.packbits(bits[::2] ^ bits[1::2]).tobytes()
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -88,14 +118,51 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
-def describe(docs: DataFrame, hashes: Callable, fingerprint: Callable, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_key, fp, sid, n, profile, sigs) for every row: its fingerprint, the key, size and profile of its shingle set, and
-    the set's signatures, which a task leaves empty for a set that it has signed before."""
+def arrays(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The bytes of runs of data, `counts` items each, as a binary array."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def pack(sigs: list[np.ndarray], sids: list[int]) -> pa.RecordBatch:
+    """Signatures of the sets `sids` by slice: the 32 bits of each that follow the slice's, and its set."""
+    sig, sid = np.concatenate(sigs), np.repeat(np.array(sids, np.int64), [len(x) for x in sigs])
+    cut = (sig >> np.uint64(52)).astype(np.uint16)
+    order, counts = np.argsort(cut, kind="stable"), np.bincount(cut, minlength=SLICES)
+    some = np.flatnonzero(counts)
+    low, owner = (sig[order] >> np.uint64(20)).astype(np.uint32), sid[order]
+    none = [pa.nulls(len(some), pa.int64())] * 5
+    columns = [pa.array(some.astype(np.int32)), *none, pa.nulls(len(some), pa.binary()), arrays(low, counts[some]), arrays(owner, counts[some])]
+    return pa.RecordBatch.from_arrays(columns, ["slice", "id", "text_key", "fp", "sid", "n", "sketch", "sigs", "owners"])
+
+
+def shared(sig: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sig, sid, place): of the signatures that two or more sets have, their sets, numbered by key from 0."""
+    order = np.argsort(sig, kind="stable")
+    sig, sid = sig[order], sid[order]
+    same = sig[1:] == sig[:-1]
+    twice = np.r_[same, False] | np.r_[False, same] if len(sig) else np.zeros(0, bool)
+    sig, sid = sig[twice], sid[twice]
+    order = np.lexsort((sid, sig))
+    sig, sid = sig[order], sid[order]
+    fresh = np.r_[True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])][: len(sig)]
+    sig, sid = sig[fresh], sid[fresh]
+    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+    size = np.diff(np.r_[start, len(sig)])
+    place, keep = np.arange(len(sig)) - np.repeat(start, size), np.repeat(size > 1, size)
+    return sig[keep], sid[keep], place[keep]
+
+
+def describe(docs: DataFrame, hashes: Callable, fingerprint: Callable, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, text_key, fp, sid, n, sketch) for every row: its fingerprint, the key, size and sketch of its shingle set; and the
+    postings (sig, sid, place): the sets of every signature that two or more of them share, numbered from 0. Both come
+    from one pass over the texts and are parts of one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed: set[int] = set()
+        sigs, owners, held = [], [], 0
         for batch in batches:
-            fps, sids, sizes, profiles, sigs = [], [], [], [], []
+            fps, sids, sizes, sketches = [], [], [], []
             for text in binary_texts(batch, "text"):
                 all_hashes = hashes(text.lower().split())
                 own = np.unique(all_hashes)
@@ -103,61 +170,68 @@ def describe(docs: DataFrame, hashes: Callable, fingerprint: Callable, similarit
                 fps.append(fingerprint(all_hashes))
                 sids.append(sid)
                 sizes.append(len(own))
-                profiles.append(profile(own))
-                sigs.append(np.zeros(0, np.int64) if sid in signed else signatures(own, similarity).view(np.int64))
+                sketches.append(sketch(own))
+                if sid not in signed and len(own):
+                    sigs.append(signatures(own, similarity))
+                    owners.append(sid)
+                    held += len(sigs[-1])
                 if len(signed) > REMEMBERED:
                     signed.clear()
                 signed.add(sid)
-            offsets = np.cumsum([0, *map(len, sigs)])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sigs])))
-            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
-            arrays = [column(batch, "id"), column(batch, "text_key"), fp, pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(profiles, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "text_key", "fp", "sid", "n", "profile", "sigs"])
+                if held >= PACKED:
+                    yield pack(sigs, owners)
+                    sigs, owners, held = [], [], 0
+            keys, fp, none = np.array(sids, np.int64), np.array(fps, np.uint64).view(np.int64), pa.nulls(len(sids), pa.binary())
+            cut = (keys.view(np.uint64) >> np.uint64(52)).astype(np.int32)
+            columns = [pa.array(cut), column(batch, "id"), column(batch, "text_key"), pa.array(fp), pa.array(keys), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), none, none]
+            yield pa.RecordBatch.from_arrays(columns, ["slice", "id", "text_key", "fp", "sid", "n", "sketch", "sigs", "owners"])
+        if held:
+            yield pack(sigs, owners)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last slice waits for the next batch, as only that shows whether it goes on.
+        last_sig, last_sid = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in itertools.chain(batches, [None]):
+            sig, sid, edge = last_sig, last_sid, len(last_sig)
+            if batch is not None:
+                row = column(batch, "sigs").is_null()
+                texts, packs = batch.filter(row), batch.filter(column(batch, "sigs").is_valid())
+                if texts.num_rows:
+                    none = pa.nulls(texts.num_rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(column(texts, c) for c in ROW), none, none], [*ROW, "sig", "place"])
+                if not packs.num_rows:
+                    continue
+                low = column(packs, "sigs").to_pylist()
+                cut = np.repeat(column(packs, "slice").to_numpy().astype(np.int64), [len(x) // 4 for x in low])
+                sig = np.r_[sig, cut << 32 | np.frombuffer(b"".join(low), np.uint32)]
+                sid = np.r_[sid, np.frombuffer(b"".join(column(packs, "owners").to_pylist()), np.int64)]
+                edge = int(np.searchsorted(sig >> 32, sig[-1] >> 32))
+            last_sig, last_sid = sig[edge:], sid[edge:]
+            sig, sid, place = shared(sig[:edge], sid[:edge])
+            for lo in range(0, len(sig), 1 << 16):
+                k, none = slice(lo, lo + (1 << 16)), pa.nulls(len(sig[lo : lo + (1 << 16)]), pa.int64())
+                columns = [none, none, none, pa.array(sid[k]), none, pa.nulls(len(none), pa.binary()), pa.array(sig[k]), pa.array(place[k])]
+                yield pa.RecordBatch.from_arrays(columns, [*ROW, "sig", "place"])
 
     text = F.col(quoted(text_col))
     src = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    return map_arrow(src, run, "id long, text_key long, fp long, sid long, n long, profile binary, sigs array<long>")
-
+    packed = map_arrow(src, run, f"slice int, {ROW_TYPES}, sigs binary, owners binary")
+    found = map_arrow(packed.repartition("slice").sortWithinPartitions("slice"), gather, f"{ROW_TYPES}, sig long, place long")
+    found = save(found, "described")
+    return found.where("place is null").select(*ROW), found.where("place is not null").select("sig", "sid", "place")
 
-def postings(described: DataFrame) -> DataFrame:
-    """(sig, sid, place): the sets of every signature that two or more of them share, numbered by key from 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last row waits for the next batch, as only that shows whether its signature goes on.
-        last_sig, last_sid, place = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-        for batch in itertools.chain(batches, [None]):
-            sig, sid = last_sig, last_sid
-            if batch is not None:
-                sig = np.r_[sig, column(batch, "sig").to_numpy(zero_copy_only=False)]
-                sid = np.r_[sid, column(batch, "sid").to_numpy(zero_copy_only=False)]
-            if not len(sig):
-                continue
-            first = np.r_[True, sig[1:] != sig[:-1]]
-            fresh = first | np.r_[True, sid[1:] != sid[:-1]]
-            sig, sid, first = sig[fresh], sid[fresh], first[fresh]
-            start = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-            at = np.arange(len(sig)) - start
-            at[start == 0] += place
-            keep = np.r_[sig[1:] == sig[:-1], False] | (at > 0)
-            last = slice(0, len(sig) if batch is None else len(sig) - 1)
-            if keep[last].any():
-                k = keep[last]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[last][k]), pa.array(sid[last][k]), pa.array(at[last][k])], ["sig", "sid", "place"])
-            last_sig, last_sid, place = sig[-1:], sid[-1:], int(at[-1])
-
-    rows = described.select(F.explode("sigs").alias("sig"), "sid")
-    return map_arrow(rows.repartition("sig").sortWithinPartitions("sig", "sid"), run, "sig long, sid long, place long")
-
-
-def verified(pairs: DataFrame, heads: DataFrame, n: int, docs: DataFrame, hashes: Callable, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) of set keys whose sets reach the similarity. heads: sid, id, text_key, n, profile, in n rows."""
+def verified(pairs: DataFrame, heads: DataFrame, small: bool, docs: DataFrame, hashes: Callable, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (u, v) of set keys whose sets reach the similarity. heads: sid, id, text_key, n, sketch; small: whether
+    that may be broadcast."""
     share = (1 - similarity) / (1 + similarity)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(column(batch, c).to_pylist()), np.int32).reshape(-1, CELLS).astype(np.int64) for c in ("pu", "pv"))
-            near = np.abs(a - b).sum(axis=1) <= (a.sum(axis=1) + b.sum(axis=1)) * share + 1e-6
-            yield pa.RecordBatch.from_arrays([column(batch, "u").filter(pa.array(near)), column(batch, "v").filter(pa.array(near))], ["u", "v"])
+            most = (column(batch, "nu").to_numpy() + column(batch, "nv").to_numpy()) * share + 1e-6
+            near = [unlike(a, b) <= m for a, b, m in zip(column(batch, "pu").to_pylist(), column(batch, "pv").to_pylist(), most.tolist())]
+            near = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([column(batch, "u").filter(near), column(batch, "v").filter(near)], ["u", "v"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,16 +246,15 @@ def verified(pairs: DataFrame, heads: DataFrame, n: int, docs: DataFrame, hashes
 
     both = pairs.where("u <> v").distinct()
     for side in ("u", "v"):
-        # A profile is about five rows of the usual width.
-        other = heads.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("profile").alias(f"p{side}"))
-        both = both.join(joinable(other, "heads", 5 * n), side)
-    both = both.where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9).select("u", "v", "pu", "pv")
+        other = heads.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"p{side}"))
+        both = both.join(F.broadcast(other) if small else other, side)
+    both = both.where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
     left = save(map_arrow(both, bound, "u long, v long"), "near")
     if left.isEmpty():
         return left
     needed = left.select(F.col("u").alias("sid")).union(left.select(F.col("v").alias("sid"))).distinct()
     needed = save(needed.join(heads, "sid").select(F.coalesce("id", F.lit(0)).alias("i"), F.col("id").isNull().alias("o"), F.col("text_key").alias("t"), "sid"), "needed")
-    held = F.broadcast(needed) if needed.count() * 64 <= 64 << 20 else needed.hint("shuffle_hash")
+    held = F.broadcast(needed) if needed.count() * 64 <= BROADCAST_BYTES else needed.hint("shuffle_hash")
     own, text = F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col))
     texts = docs.select(F.coalesce(own, F.lit(0)).alias("i"), own.isNull().alias("o"), F.xxhash64(text).alias("t"), text.alias("text")).join(held, ["i", "o", "t"])
     whole = save(map_arrow(texts.select("sid", "text"), sets, "sid long, elements binary").groupBy("sid").agg(F.min("elements").alias("elements")), "sets")
@@ -198,19 +271,19 @@ def classes(docs: DataFrame, hashes: Callable, fingerprint: Callable, fingerprin
     (u, v) among fingerprints that are compared first. Null and wordless texts have the empty set and are copies of each
     other. An empty table gives an empty one.
     """
-    described = save(describe(docs, hashes, fingerprint, similarity, id_col, text_col), "described")
-    first = F.min(F.struct(F.col("id").isNull().alias("o"), "id", "text_key", "fp", "n", "profile")).alias("x")
-    heads = described.groupBy("sid").agg(first).select("sid", "x.id", "x.text_key", "x.fp", "x.n", "x.profile")
+    described, open_rows = describe(docs, hashes, fingerprint, similarity, id_col, text_col)
+    first = F.min(F.struct(F.col("id").isNull().alias("o"), "id", "text_key", "fp", "n", "sketch")).alias("x")
+    heads = described.groupBy("sid").agg(first).select("sid", "x.id", "x.text_key", "x.fp", "x.n", "x.sketch")
     heads = save(heads, "heads")
-    n = heads.count()
+    n, wide = heads.agg(F.count("*"), F.coalesce(F.sum(F.length("sketch")), F.lit(0))).first()
+    small = 64 * n + wide <= BROADCAST_BYTES
     of_fp = save(heads.groupBy("fp").agg(F.min("sid").alias("least")), "of_fp")
     named = joinable(of_fp, "of_fp", n)
     pairs = heads.join(named, "fp").select(F.col("least").alias("u"), F.col("sid").alias("v"))
     for_link = fingerprint_links(of_fp.select("fp")).join(joinable(of_fp.select(F.col("fp").alias("u"), F.col("least").alias("a")), "of_fp", n), "u")
     for_link = for_link.join(joinable(of_fp.select(F.col("fp").alias("v"), F.col("least").alias("b")), "of_fp", n), "v")
     pairs = save(pairs.union(for_link.select(F.col("a").alias("u"), F.col("b").alias("v"))).where("u <> v"), "candidates")
-    linked = verified(pairs, heads, n, docs, hashes, similarity, id_col, text_col)
-    open_rows = save(postings(described), "postings")
+    linked = verified(pairs, heads, small, docs, hashes, similarity, id_col, text_col)
     fresh, leaders = 0, 1
     roots = stars(linked)
     while True:
@@ -225,7 +298,7 @@ def classes(docs: DataFrame, hashes: Callable, fingerprint: Callable, fingerprin
         lead = lead.select("sig", F.col("sid").alias("u"), F.col("place").alias("at"), F.col("root").alias("own"))
         met = open_rows.join(lead, "sig").where((F.col("place") > F.col("at")) & (F.col("root") != F.col("own")))
         pairs = save(met.select("u", F.col("sid").alias("v")).distinct(), "met")
-        linked = verified(pairs, heads, n, docs, hashes, similarity, id_col, text_col)
+        linked = verified(pairs, heads, small, docs, hashes, similarity, id_col, text_col)
         if not linked.isEmpty():
             roots = stars(linked.union(roots))
         open_rows = open_rows.select("sig", "sid", "place")
