@@ -157,3 +157,15 @@ def test_classes_where_nothing_is_broadcast(spark, sf, monkeypatch):
     monkeypatch.setattr(resemblance, "PACKED", 5000)
     kept = simhash.one_of_each(docs, size=5, similarity=0.8)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(brute_classes([r.doc_id for r in rows], [r.text for r in rows])))
+
+
+def test_pairs_around_a_passage_are_never_rows(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join([f"p{i}" for i in range(120)] + [f"q{rng.random()}" for _ in range(60)]) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr("traceloom.llm.common.shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(resemblance, "CHUNK", 16)
+    assert simhash.one_of_each(docs, size=5, similarity=0.8).count() == len(set(brute_classes(list(range(300)), texts)))
+    tables = [t for t in tmp_path.iterdir() if t.name.split("-")[0] in ("met", "near", "linked", "candidates")]
+    rows = {t.name: spark.read.parquet(str(t)).count() for t in tables}
+    assert rows and max(rows.values()) <= 10 * 300

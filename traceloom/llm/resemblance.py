@@ -13,14 +13,16 @@ Equal signatures thus meet the sets of every linked pair, while sets that merely
 
 Signatures are many, a half of the elements, and few are shared. They are never stored: a task packs those of many texts by
 slice of their range into arrays, which are shuffled, and only those that two sets share are written. 44 bits of each are
-kept, which may make two meet by chance but never parts equal ones.
-
-Sets that share a signature are a posting. Round by round, the first members of a posting (one, then four, sixteen and
-so on) are compared with its later members of other components; a posting whose members are all in one component is done. A
-posting of near copies ends with its first round, so pairs do not grow with the square of a group. Compared pairs pass a
-bound first, and the exact test on whole sets then. The bound is the unlike bits of two sketches, which hold the parity of a
-set's counts in about as many parts of the hash range as it has elements: a part whose parities differ holds an element
-that only one set has.
+kept, which may make two sets meet by chance but never keeps two apart.
+
+Sets that share a signature are a posting, and all postings of one smallest set are a family, which holds each set once.
+Round by round, the first members of a family (one, then four, sixteen and so on) are compared with its later members of
+other components; a family whose members are all in one component is done. A family of near copies ends with its first
+round, so pairs to verify do not grow with the square of a group. Texts around one passage may be many in a family of which
+no two are similar; so pairs are made and bounded where the family meets, and are never rows of a table. The bound is the
+unlike bits of two sketches, which hold the parity of a set's counts in about as many parts of the hash range as it has
+elements: a part whose parities differ holds an element that only one set has. What passes goes to the exact test on whole
+sets.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm.common import BROADCAST_BYTES, binary_texts, column, joinable, map_arrow, mix, quoted, save
@@ -42,6 +44,8 @@ from traceloom.llm.components import stars
 CELLS = 32
 #: Slices of the signatures' range, and signatures that a task packs at a time.
 SLICES, PACKED = 4096, 1 << 20
+#: Members of a family that meet in one task, besides the first.
+CHUNK = 4096
 #: What is known of each text.
 ROW = ["id", "text_key", "fp", "sid", "n", "sketch"]
 ROW_TYPES = "id long, text_key long, fp long, sid long, n long, sketch binary"
@@ -154,9 +158,9 @@ def shared(sig: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def describe(docs: DataFrame, hashes: Callable, fingerprint: Callable, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, text_key, fp, sid, n, sketch) for every row: its fingerprint, the key, size and sketch of its shingle set; and the
-    postings (sig, sid, place): the sets of every signature that two or more of them share, numbered from 0. Both come
-    from one pass over the texts and are parts of one table."""
+    """(id, text_key, fp, sid, n, sketch) for every row: its fingerprint, the key, size and sketch of its shingle set; and
+    (lead, sid, mask): the later sets of the postings whose smallest set is `lead`, two that share one having a common bit in
+    their masks. Both come from one pass over the texts and are parts of one table; the second may have repeated rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed: set[int] = set()
@@ -198,7 +202,7 @@ def describe(docs: DataFrame, hashes: Callable, fingerprint: Callable, similarit
                 texts, packs = batch.filter(row), batch.filter(column(batch, "sigs").is_valid())
                 if texts.num_rows:
                     none = pa.nulls(texts.num_rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([*(column(texts, c) for c in ROW), none, none], [*ROW, "sig", "place"])
+                    yield pa.RecordBatch.from_arrays([*(column(texts, c) for c in ROW), none, none], [*ROW, "lead", "mask"])
                 if not packs.num_rows:
                     continue
                 low = column(packs, "sigs").to_pylist()
@@ -208,22 +212,100 @@ def describe(docs: DataFrame, hashes: Callable, fingerprint: Callable, similarit
                 edge = int(np.searchsorted(sig >> 32, sig[-1] >> 32))
             last_sig, last_sid = sig[edge:], sid[edge:]
             sig, sid, place = shared(sig[:edge], sid[:edge])
-            for lo in range(0, len(sig), 1 << 16):
-                k, none = slice(lo, lo + (1 << 16)), pa.nulls(len(sig[lo : lo + (1 << 16)]), pa.int64())
-                columns = [none, none, none, pa.array(sid[k]), none, pa.nulls(len(none), pa.binary()), pa.array(sig[k]), pa.array(place[k])]
-                yield pa.RecordBatch.from_arrays(columns, [*ROW, "sig", "place"])
+            lead = sid[np.flatnonzero(place == 0)][np.cumsum(place == 0) - 1] if len(sid) else sid
+            later = np.flatnonzero(place)
+            order = later[np.lexsort((sid[later], lead[later]))]
+            lead, sid, mask = lead[order], sid[order], np.int64(1) << (sig[order] & 63)
+            fresh = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (sid[1:] != sid[:-1])][: len(lead)])
+            if not len(fresh):
+                continue
+            lead, sid, mask = lead[fresh], sid[fresh], np.bitwise_or.reduceat(mask, fresh)
+            for lo in range(0, len(fresh), 1 << 16):
+                k, none = slice(lo, lo + (1 << 16)), pa.nulls(len(fresh[lo : lo + (1 << 16)]), pa.int64())
+                columns = [none, none, none, pa.array(sid[k]), none, pa.nulls(len(none), pa.binary()), pa.array(lead[k]), pa.array(mask[k])]
+                yield pa.RecordBatch.from_arrays(columns, [*ROW, "lead", "mask"])
 
     text = F.col(quoted(text_col))
     src = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     packed = map_arrow(src, run, f"slice int, {ROW_TYPES}, sigs binary, owners binary")
-    found = map_arrow(packed.repartition("slice").sortWithinPartitions("slice"), gather, f"{ROW_TYPES}, sig long, place long")
+    found = map_arrow(packed.repartition("slice").sortWithinPartitions("slice"), gather, f"{ROW_TYPES}, lead long, mask long")
     found = save(found, "described")
-    return found.where("place is null").select(*ROW), found.where("place is not null").select("sig", "sid", "place")
-
+    return found.where("lead is null").select(*ROW), found.where("lead is not null").select("lead", "sid", "mask")
+
+
+def unlike_rows(sketches: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """unlike() of the sketches i and j, pair by pair; those of a pair are of one length, or one is twice as long."""
+    length = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    at, table = np.zeros(len(sketches), np.int64), {}
+    for size in np.unique(length).tolist():
+        rows = np.flatnonzero(length == size)
+        at[rows] = np.arange(len(rows))
+        bits = np.frombuffer(b"".join([sketches[r] for r in rows.tolist()]), np.uint8).reshape(-1, size)
+        table[size, size] = bits.view(np.uint64)
+        if size > 8:
+            half = np.unpackbits(bits, axis=1)
+            table[size, size // 2] = np.packbits(half[:, ::2] ^ half[:, 1::2], axis=1).view(np.uint64)
+    out, least = np.zeros(len(i), np.int64), np.minimum(length[i], length[j])
+    kind = length[i] * (1 << 32) + length[j]
+    for k in np.unique(kind).tolist():
+        pairs = np.flatnonzero(kind == k)
+        a, b, size = k >> 32, k & (1 << 32) - 1, int(least[pairs[0]])
+        step = max(1, (4 << 20) // size)
+        for lo in range(0, len(pairs), step):
+            p = pairs[lo : lo + step]
+            out[p] = np.bitwise_count(table[a, size][at[i[p]]] ^ table[b, size][at[j[p]]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def near(open_rows: DataFrame, heads: DataFrame, small: bool, fresh: int, leaders: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) that pass the bound, of the members `fresh` to `fresh + leaders` of each family and its later members of
+    other components that share a posting. open_rows: lead, sid, mask, place, root, m (the family's last place). A family
+    meets in chunks, to each of which the leaders go."""
+    share = (1 - similarity) / (1 + similarity)
 
-def verified(pairs: DataFrame, heads: DataFrame, small: bool, docs: DataFrame, hashes: Callable, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) of set keys whose sets reach the similarity. heads: sid, id, text_key, n, sketch; small: whether
-    that may be broadcast."""
+    def found(sids: np.ndarray, place: np.ndarray, root: np.ndarray, n: np.ndarray, mask: np.ndarray, sketches: list[bytes], last: np.ndarray):
+        """last: the end of each row's group."""
+        first = np.flatnonzero((place >= fresh) & (place < fresh + leaders))
+        many = last[first] - first - 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(many) >> 18, prepend=0)).tolist()
+        for lo, hi in itertools.pairwise([0, *(c for c in cuts if c), len(first)]):
+            i = np.repeat(first[lo:hi], many[lo:hi])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi])
+            fit = (root[i] != root[j]) & ((mask[i] & mask[j]) != 0) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[fit], j[fit]
+            if not len(i):
+                continue
+            fit = unlike_rows(sketches, i, j) <= (n[i] + n[j]) * share + 1e-6
+            pairs = np.unique(np.stack([sids[i[fit]], sids[j[fit]]], axis=1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last group waits for the next batch, as only that shows whether it goes on.
+        names = ["lead", "chunk", "place", "sid", "root", "n", "mask"]
+        held, held_sketches = [np.zeros(0, np.int64)] * len(names), []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = [np.r_[x, column(batch, c).to_numpy()] for x, c in zip(held, names)]
+                held_sketches = held_sketches + column(batch, "sketch").to_pylist()
+            lead, chunk, place, sids, root, n, mask = held
+            if not len(lead):
+                continue
+            start = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (chunk[1:] != chunk[:-1])])
+            edge = len(lead) if batch is None else int(start[-1])
+            last = np.repeat(np.r_[start[1:], len(lead)], np.diff(np.r_[start, len(lead)]))
+            yield from found(*(x[:edge] for x in (sids, place, root, n, mask)), held_sketches[:edge], last[:edge])
+            held, held_sketches = [x[edge:] for x in held], held_sketches[edge:]
+
+    own, leads = F.expr(f"place div {CHUNK}"), (F.col("place") >= fresh) & (F.col("place") < fresh + leaders)
+    rows = open_rows.where(F.col("place") >= fresh).withColumn("chunk", F.explode(F.when(leads, F.sequence(own, F.expr(f"m div {CHUNK}"))).otherwise(F.array(own))))
+    other = heads.select("sid", "n", "sketch")
+    rows = rows.join(F.broadcast(other) if small else other, "sid").select("lead", "chunk", "place", "sid", "root", "n", "mask", "sketch")
+    return map_arrow(rows.repartition("lead", "chunk").sortWithinPartitions("lead", "chunk", "place"), meet, "u long, v long").distinct()
+
+
+def bounded(pairs: DataFrame, heads: DataFrame, small: bool, similarity: float) -> DataFrame:
+    """The pairs (u, v) that pass the bound. heads: sid, id, text_key, n, sketch; small: whether that may be broadcast."""
     share = (1 - similarity) / (1 + similarity)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +315,17 @@ def verified(pairs: DataFrame, heads: DataFrame, small: bool, docs: DataFrame, h
             near = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "u").filter(near), column(batch, "v").filter(near)], ["u", "v"])
 
+    both = pairs.where("u <> v").distinct()
+    for side in ("u", "v"):
+        other = heads.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"p{side}"))
+        both = both.join(F.broadcast(other) if small else other, side)
+    both = both.where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
+    return map_arrow(both, bound, "u long, v long")
+
+
+def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, hashes: Callable, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (u, v) of set keys, each given once, whose sets reach the similarity."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(hashes(t.lower().split())).tobytes() for t in binary_texts(batch, "text")]
@@ -244,12 +337,7 @@ def verified(pairs: DataFrame, heads: DataFrame, small: bool, docs: DataFrame, h
             near = pa.array([similar(x, y, similarity) for x, y in zip(a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([column(batch, "u").filter(near), column(batch, "v").filter(near)], ["u", "v"])
 
-    both = pairs.where("u <> v").distinct()
-    for side in ("u", "v"):
-        other = heads.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"p{side}"))
-        both = both.join(F.broadcast(other) if small else other, side)
-    both = both.where(F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - 1e-9)
-    left = save(map_arrow(both, bound, "u long, v long"), "near")
+    left = save(pairs, "near")
     if left.isEmpty():
         return left
     needed = left.select(F.col("u").alias("sid")).union(left.select(F.col("v").alias("sid"))).distinct()
@@ -271,7 +359,7 @@ def classes(docs: DataFrame, hashes: Callable, fingerprint: Callable, fingerprin
     (u, v) among fingerprints that are compared first. Null and wordless texts have the empty set and are copies of each
     other. An empty table gives an empty one.
     """
-    described, open_rows = describe(docs, hashes, fingerprint, similarity, id_col, text_col)
+    described, met = describe(docs, hashes, fingerprint, similarity, id_col, text_col)
     first = F.min(F.struct(F.col("id").isNull().alias("o"), "id", "text_key", "fp", "n", "sketch")).alias("x")
     heads = described.groupBy("sid").agg(first).select("sid", "x.id", "x.text_key", "x.fp", "x.n", "x.sketch")
     heads = save(heads, "heads")
@@ -282,26 +370,27 @@ def classes(docs: DataFrame, hashes: Callable, fingerprint: Callable, fingerprin
     pairs = heads.join(named, "fp").select(F.col("least").alias("u"), F.col("sid").alias("v"))
     for_link = fingerprint_links(of_fp.select("fp")).join(joinable(of_fp.select(F.col("fp").alias("u"), F.col("least").alias("a")), "of_fp", n), "u")
     for_link = for_link.join(joinable(of_fp.select(F.col("fp").alias("v"), F.col("least").alias("b")), "of_fp", n), "v")
-    pairs = save(pairs.union(for_link.select(F.col("a").alias("u"), F.col("b").alias("v"))).where("u <> v"), "candidates")
-    linked = verified(pairs, heads, small, docs, hashes, similarity, id_col, text_col)
+    pairs = pairs.union(for_link.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    linked = verified(bounded(pairs, heads, small, similarity), heads, docs, hashes, similarity, id_col, text_col)
+    met = met.groupBy("lead", "sid").agg(F.bit_or("mask").alias("mask"))
+    met = met.union(met.select("lead", F.col("lead").alias("sid"), F.lit(-1).cast("long").alias("mask")).distinct())
+    place = F.row_number().over(Window.partitionBy("lead").orderBy("sid")).cast("long") - 1
+    open_rows = save(met.withColumn("place", place), "families")
     fresh, leaders = 0, 1
     roots = stars(linked)
     while True:
         known = joinable(roots.select(F.col("node").alias("sid"), "root"), "roots", n)
-        marked = open_rows.join(known, "sid", "left").select("sig", "sid", "place", F.coalesce("root", "sid").alias("root"))
-        still = marked.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("place").alias("m"))
-        still = still.where((F.col("a") != F.col("b")) & (F.col("m") > fresh)).select("sig")
-        open_rows = save(marked.join(still, "sig", "left_semi"), "open")
+        marked = open_rows.join(known, "sid", "left").select("lead", "sid", "mask", "place", F.coalesce("root", "sid").alias("root"))
+        still = marked.groupBy("lead").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("place").alias("m"))
+        still = still.where((F.col("a") != F.col("b")) & (F.col("m") > fresh)).select("lead", "m")
+        open_rows = save(marked.join(still, "lead"), "open")
         if open_rows.isEmpty():
             break
-        lead = open_rows.where((F.col("place") >= fresh) & (F.col("place") < fresh + leaders))
-        lead = lead.select("sig", F.col("sid").alias("u"), F.col("place").alias("at"), F.col("root").alias("own"))
-        met = open_rows.join(lead, "sig").where((F.col("place") > F.col("at")) & (F.col("root") != F.col("own")))
-        pairs = save(met.select("u", F.col("sid").alias("v")).distinct(), "met")
-        linked = verified(pairs, heads, small, docs, hashes, similarity, id_col, text_col)
+        pairs = near(open_rows, heads, small, fresh, leaders, similarity)
+        linked = verified(pairs, heads, docs, hashes, similarity, id_col, text_col)
         if not linked.isEmpty():
             roots = stars(linked.union(roots))
-        open_rows = open_rows.select("sig", "sid", "place")
+        open_rows = open_rows.select("lead", "sid", "mask", "place")
         fresh, leaders = fresh + leaders, 4 * leaders
     root = joinable(roots.select(F.col("node").alias("sid"), "root"), "roots", n)
     return described.select("id", "text_key", "sid").join(root, "sid", "left").select("id", "text_key", F.coalesce("root", "sid").alias("root"))
