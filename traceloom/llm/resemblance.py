@@ -43,7 +43,7 @@ from traceloom.llm.components import stars
 #: Counts of a set's profile, unless told otherwise.
 CELLS = 32
 #: Slices of the signatures' range, and signatures that a task packs at a time.
-SLICES, PACKED = 4096, 1 << 20
+SLICES, PACKED = 4096, 1 << 18
 #: Members of a family that meet in one task, besides the first.
 CHUNK = 4096
 #: What is known of each text.
