@@ -4,7 +4,7 @@ import hashlib
 from collections import Counter
 
 import corpus_pipeline
-from traceloom.llm import mixing, pieces
+from traceloom.llm import common, langid, mixing, pieces, resemblance, simhash, substring
 from traceloom.llm.common import save
 from traceloom.llm.pipeline import language_id
 from tests.llm.test_resemblance import brute_classes
@@ -53,3 +53,31 @@ def test_texts_stay_where_no_language_was_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = language_id(spark, docs, "").collect()
     assert sorted((r.doc_id, r.text, r.lang) for r in got) == [(1, "some text", None), (4, "more über", None)]
+
+
+def test_stages_hand_python_small_batches(spark, monkeypatch):
+    bound, mapped = common.BATCH_BYTES, common.map_arrow
+
+    def checked(df, f, schema):
+        def run(batches):
+            def small(batches):
+                for batch in batches:
+                    assert batch.nbytes < 1.5 * bound, f"a batch of {batch.nbytes} bytes"
+                    yield batch
+
+            return f(small(batches))
+
+        return mapped(df, run, schema)
+
+    for module in (langid, pieces, resemblance, simhash, substring):
+        monkeypatch.setattr(module, "map_arrow", checked)
+    text = "concat_ws(' ', transform(sequence(1, 400), x -> concat('w', (x * 7 + id * 31) % 1009, 'x', id % 1500)))"
+    docs = spark.range(3000, numPartitions=1).selectExpr("id as doc_id", f"{text} as text", "'en' as lang", "'s' as source")
+    docs = save(docs, "test").coalesce(1)
+    assert docs.selectExpr("sum(length(text))").first()[0] > 4 * bound / 2
+    for name, stage in corpus_pipeline.STAGES[:3] + corpus_pipeline.STAGES[4:]:
+        assert stage(spark, docs, "").count() > 0, name
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with common.usual_batches(spark):
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != held == str(bound)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == held

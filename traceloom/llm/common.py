@@ -7,6 +7,7 @@ import uuid
 import warnings
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain, islice
 
 import numpy as np
@@ -22,6 +23,10 @@ STEP_BYTES = 2 << 20
 REMEMBERED = 300_000
 #: Largest table, in bytes of its rows, that an operator broadcasts.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of an Arrow batch for Python where small_batches() holds; Spark's own bound is 64 MB, at which JVM and worker both hold
+#: a batch of whole texts several times over.
+BATCH_BYTES = 2 * STEP_BYTES
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +65,24 @@ def joinable(df: DataFrame, tag: str, rows: int, row_bytes: int = 32) -> DataFra
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else save(df, tag)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches for Python have about BATCH_BYTES at most. It cannot end with the caller, as
+    plans are run later; a bound that the session was given stays."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+@contextmanager
+def usual_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches as they were before small_batches(), for a result that depends on where batches end."""
+    small = spark.conf.get(_BATCH, None) == str(BATCH_BYTES)
+    spark.conf.unset(_BATCH) if small else None
+    try:
+        yield
+    finally:
+        small_batches(spark) if small else None
+
+
 def release() -> None:
     """Give what a finished task has freed back to the system: a Python worker waits for its next task with little."""
     pa.default_memory_pool().release_unused()

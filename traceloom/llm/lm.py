@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceloom.llm.common import WordTable, binary_texts, column, map_arrow, quoted, save, spans
+from traceloom.llm.common import WordTable, binary_texts, column, map_arrow, quoted, save, spans, usual_batches
 
 WORDS, HASHED, FREQUENT = 192, 128, 50_000
 WIDTH, CONTEXT, NOISE, BATCH, RATE, SEED = 24, 3, 64, 1024, 0.15, 3
@@ -277,7 +277,8 @@ def train(src: DataFrame, classes: Classes, first: dict[str, np.ndarray]) -> dic
         total = sum(np.frombuffer(x.as_py()) for x in table["total"])
         return pa.table({"n": [sum(table["n"].to_pylist())], "total": pa.array([total.tobytes()], pa.binary())})
 
-    parts = map_arrow(src.select("text"), run, "part long, n long, total binary").groupBy("part").applyInArrow(add, "n long, total binary").collect()  # 64 rows at most
+    with usual_batches(src.sparkSession):  # a step of the descent ends where a batch does
+        parts = map_arrow(src.select("text"), run, "part long, n long, total binary").groupBy("part").applyInArrow(add, "n long, total binary").collect()  # 64 rows at most
     if not parts:
         return first
     return _unpack(sum(np.frombuffer(bytes(r["total"])) for r in parts) / sum(r["n"] for r in parts), first)
